@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from codeloom.tables import cut
 
 #: Bounds of what is fitted or calibrated on the driver, and the intended size of a cell and of a leaf.
-SAMPLE, PROBED, CELL, LEAF, BRANCH, MOST_CELLS = 32_768, 192, 6_000, 160, 16, 4_096
+SAMPLE, PROBED, CELL, LEAF, BRANCH, MOST_CELLS = 32_768, 256, 9_000, 160, 64, 4_096
 #: Recall to which the margin between cells and the visits within a cell are widened.
-RECALL = 0.975
+RECALL = 0.97
 #: More equal copies than this of one vector are taken out of the index and answered from their class.
 HOT = 64
 
@@ -134,49 +134,49 @@ def exact(q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-s, k - 1, axis=1)[:, :k]
 
 
-def search_cell(q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-    """Row numbers of x, at least the k best of each q with recall RECALL, -1 where there are fewer."""
+def search_cell(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Queries and row numbers of x: about the k + 3 best of each q and at least k with recall RECALL, unordered.
+
+    The leaf nearest to a query gives it a bar; from further leaves only what passes the bar is kept.
+    """
     keep = k + 3
     tree = Tree(x, LEAF)
     home = tree.visit(x, 1)[0][:, 0]
     order = np.argsort(home, kind="stable")
     begin = np.searchsorted(home[order], np.arange(tree.leaves + 1))
-    step = max(1, len(q) // 48)
-    asked = q[::step]
-    truth = exact(asked, x, k + 1)
-    visits, seen = 2, tree.visit(asked, tree.leaves)[0]
+    asked = q[:: max(1, len(q) // 64)]
+    truth, seen = exact(asked, x, k + 1), tree.visit(asked, tree.leaves)[0]
+    visits = min(2, tree.leaves)
     while visits < tree.leaves:
         reached = np.mean([np.isin(home[t], s[:visits]).mean() for t, s in zip(truth, seen)])
-        if reached >= 1 - (1 - RECALL) / 2:
+        if reached >= 1 - (1 - RECALL) / 3:
             break
         visits = min(tree.leaves, visits + max(1, visits // 2))
     leaves = tree.visit(q, visits)[0]
-    visits = leaves.shape[1]
-    flat = leaves.ravel()
-    turn = np.argsort(flat, kind="stable")
-    edge = np.searchsorted(flat[turn], np.arange(tree.leaves + 1))
-    best = np.full((len(q), visits, keep), -1, dtype=np.int64)
-    score = np.full((len(q), visits, keep), -9.0, dtype=np.float32)
-    for leaf in range(tree.leaves):
-        members, slots = order[begin[leaf] : begin[leaf + 1]], turn[edge[leaf] : edge[leaf + 1]]
-        if not len(members) or not len(slots):
-            continue
-        rows = slots // visits
-        s = q[rows] @ x[members].T
-        m = min(keep, len(members))
-        if m < len(members):
-            take = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            s = np.take_along_axis(s, take, axis=1)
-            took = members[take]
-        else:
-            took = np.broadcast_to(members, s.shape)
-        best[rows, slots % visits, :m] = took
-        score[rows, slots % visits, :m] = s
-    best, score = best.reshape(len(q), -1), score.reshape(len(q), -1)
-    if best.shape[1] > keep:
-        take = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-        best = np.take_along_axis(best, take, axis=1)
-    return best
+    bar = np.full(len(q), -2.0, dtype=np.float32)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for first in (True, False):
+        flat = (leaves[:, :1] if first else leaves[:, 1:]).ravel()
+        wide = 1 if first else leaves.shape[1] - 1
+        turn = np.argsort(flat, kind="stable")
+        edge = np.searchsorted(flat[turn], np.arange(tree.leaves + 1))
+        for leaf in range(tree.leaves):
+            members, rows = order[begin[leaf] : begin[leaf + 1]], turn[edge[leaf] : edge[leaf + 1]] // max(1, wide)
+            if not len(members):
+                continue
+            for part in range(0, len(rows), 2_048):
+                r = rows[part : part + 2_048]
+                s = q[r] @ x[members].T
+                if first and len(members) > keep:
+                    bar[r] = np.partition(s, len(members) - keep, axis=1)[:, len(members) - keep]
+                at, col = np.nonzero(s >= bar[r][:, None])
+                found.append((r[at], members[col], s[at, col]))
+    row, col, score = (np.concatenate(v) for v in zip(*found))
+    by = np.lexsort((-score, row))
+    row, col = row[by], col[by]
+    start = np.searchsorted(row, np.arange(len(q)))
+    near = np.arange(len(row)) - start[row] < keep
+    return row[near], col[near]
 
 
 def packed(id_: Column) -> Column:
@@ -205,8 +205,19 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.asarray(flat.flatten(), dtype=np.float32).reshape(-1, dim)
 
 
-def cell_schema(dim: int) -> str:
-    return "cell int, is_member boolean, id binary, vector array<float>, cells int"
+def rows_of(column: pa.Array, kind: type, dim: int) -> np.ndarray:
+    """The vectors that a column of byte strings of one length holds."""
+    if not len(column):
+        return np.zeros((0, dim), dtype=np.float32)
+    width = dim * np.dtype(kind).itemsize
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[column.offset * width : (column.offset + len(column)) * width]
+    return data.view(kind).reshape(-1, dim)
+
+
+def as_bytes(x: np.ndarray) -> pa.Array:
+    width = x.shape[1] * x.itemsize
+    ends = np.arange(len(x) + 1, dtype=np.int32) * width
+    return pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x))])
 
 
 def neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, id_: str = "id", newest: str = "indexed_at") -> DataFrame:
@@ -275,69 +286,57 @@ def neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, id_: str = "id", n
             part = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
             mine = np.asarray(batch.column("h"), dtype=np.int64).astype(np.uint64)[row] % pieces[cell].astype(np.uint64)
             member = (slot == 0) & (part == mine.astype(np.int64))
-            cells = np.bincount(row, minlength=batch.num_rows)[row]
             number = np.concatenate([[0], np.cumsum(pieces)])[cell] + part
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(number, pa.int32()), pa.array(member), ids.take(take), vecs.take(take), pa.array(cells, pa.int32())],
-                ["cell", "is_member", "id", "vector", "cells"],
-            )
+            for own in (True, False):  # members keep their vector; a question elsewhere carries half precision
+                pick = member == own
+                take = pa.array(row[pick])
+                data = matrix(vecs, dim)[row[pick]] if own else x[row[pick]].astype(np.float16)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(number[pick], pa.int32()), pa.array(member[pick]), ids.take(take), as_bytes(data)],
+                    ["cell", "is_member", "id", "vector"],
+                )
 
     def answer(table: pa.Table) -> pa.Table:
         ids = table.column("id").combine_chunks()
-        raw = matrix(table.column("vector"), dim)
+        data = table.column("vector").combine_chunks()
         member = np.asarray(table.column("is_member"))
         at = np.flatnonzero(member)
         names = [text_of(b) for b in ids.take(pa.array(at)).to_pylist()]
-        _, once = np.unique(names, return_index=True)  # a repeated row counts once
+        _, once = np.unique(names, return_index=True)  # a repeated row counts once; members in the order of their ids
         at = at[once]
-        order = np.full(len(raw), -1, dtype=np.int64)
-        order[at] = np.arange(len(at))  # rank of a member's id in the order of the ids
-        ask = np.concatenate([at, np.flatnonzero(~member)])
-        if not len(at) or not len(ask):
-            return pa.table({"id": pa.array([], pa.binary()), "nids": pa.array([], pa.list_(pa.binary())), "sims": pa.array([], pa.list_(pa.float64())), "cells": pa.array([], pa.int32())})
-        x = unit(raw)
-        best = search_cell(x[ask], x[at], k)
+        asks = np.flatnonzero(~member)
+        if not len(at):
+            return pa.table({"id": pa.array([], pa.binary()), "nids": pa.array([], pa.list_(pa.binary())), "sims": pa.array([], pa.list_(pa.float64()))})
+        raw = rows_of(data.take(pa.array(at)), np.float32, dim)
         wide = raw.astype(np.float64)
         wide /= np.linalg.norm(wide, axis=1, keepdims=True)
-        sims = np.empty(best.shape)
-        for s in range(0, len(ask), 4096):
-            sims[s : s + 4096] = np.einsum("qd,qkd->qk", wide[ask[s : s + 4096]], wide[at[best[s : s + 4096]]])
+        ask = np.concatenate([wide, rows_of(data.take(pa.array(asks)), np.float16, dim).astype(np.float64)])
+        x = wide.astype(np.float32)
+        row, best = search_cell(ask.astype(np.float32), x, k)
+        sims = np.empty(len(row))
+        for s in range(0, len(row), 16_384):
+            sims[s : s + 16_384] = np.einsum("nd,nd->n", ask[row[s : s + 16_384]], wide[best[s : s + 16_384]])
         sims = np.round(sims, 12)
-        sims[(best < 0) | (best == order[ask][:, None])] = -9.0
-        best = np.where(best < 0, 0, best)
-        by = np.lexsort((best, -sims), axis=1)[:, :k]
-        best, sims = np.take_along_axis(best, by, axis=1), np.take_along_axis(sims, by, axis=1)
-        good = sims > -8
-        ends = np.concatenate([[0], np.cumsum(good.sum(axis=1))]).astype(np.int32)
-        nids = pa.ListArray.from_arrays(pa.array(ends), ids.take(pa.array(at[best[good]])))
-        values = pa.ListArray.from_arrays(pa.array(ends), pa.array(sims[good]))
-        take = pa.array(ask)
-        return pa.table({"id": ids.take(take), "nids": nids, "sims": values, "cells": table.column("cells").combine_chunks().take(take)})
-
-    placed = current.select("id", "h", "vector").mapInArrow(place, cell_schema(dim))
-    partial = placed.groupBy("cell").applyInArrow(answer, "id binary, nids array<binary>, sims array<double>, cells int")
-    # lists of one cell are final; the others, of at most 16 cells and their pieces, are merged by query
-    merged = (
-        partial.where("cells > 1")
-        .groupBy("id")
-        .agg(F.flatten(F.collect_list(F.arrays_zip("nids", "sims"))).alias("z"))
-        .select(
-            "id",
-            F.slice(
-                F.array_sort(F.transform("z", lambda z: F.struct((-z["sims"]).alias("d"), unpacked(z["nids"]).alias("n"), z["nids"].alias("b")))),
-                1,
-                k,
-            ).alias("z"),
-        )
-    )
-    alone = partial.where("cells = 1").select(
-        "id",
-        F.transform(F.arrays_zip("nids", "sims"), lambda z: F.struct((-z["sims"]).alias("d"), unpacked(z["nids"]).alias("n"), z["nids"].alias("b"))).alias("z"),
-    )
+        other = best != np.where(row < len(at), row, -1)
+        row, best, sims = row[other], best[other], sims[other]
+        by = np.lexsort((best, -sims, row))
+        row, best, sims = row[by], best[by], sims[by]
+        start = np.searchsorted(row, np.arange(len(ask)))
+        near = np.arange(len(row)) - start[row] < k
+        row, best, sims = row[near], best[near], sims[near]
+        ends = np.searchsorted(row, np.arange(len(ask) + 1)).astype(np.int32)
+        nids = pa.ListArray.from_arrays(pa.array(ends), ids.take(pa.array(at[best])))
+        values = pa.ListArray.from_arrays(pa.array(ends), pa.array(sims))
+        return pa.table({"id": ids.take(pa.array(np.concatenate([at, asks]))), "nids": nids, "sims": values})
+
+    placed = current.select("id", "h", "vector").mapInArrow(place, "cell int, is_member boolean, id binary, vector binary")
+    partial = placed.groupBy("cell").applyInArrow(answer, "id binary, nids array<binary>, sims array<double>")
+    # the lists of a query, from at most 16 cells and their pieces, are merged
+    nearest = F.array_sort(F.transform("z", lambda z: F.struct((-z["sims"]).alias("d"), unpacked(z["nids"]).alias("n"), z["nids"].alias("b"))))
     found = (
-        alone.unionByName(merged)
-        .select("id", F.posexplode("z").alias("p", "z"))
+        partial.groupBy("id")
+        .agg(F.flatten(F.collect_list(F.arrays_zip("nids", "sims"))).alias("z"))
+        .select("id", F.posexplode(F.slice(nearest, 1, k)).alias("p", "z"))
         .select("id", F.col("z.b").alias("neighbour"), (-F.col("z.d")).alias("similarity"), (F.col("p") + 1).alias("rank"))
     )
     return found.unionByName(extra) if extra is not None else found
