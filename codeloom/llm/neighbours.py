@@ -21,15 +21,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.tables import cut
 
 #: Bounds of what is fitted or calibrated on the driver, and the intended size of a cell and of a leaf.
-SAMPLE, PROBED, CELL, LEAF, BRANCH, MOST_CELLS = 32_768, 256, 9_000, 160, 64, 4_096
+SAMPLE, PROBED, CELL, LEAF, BRANCH, LEAST_CELLS, MOST_CELLS = 32_768, 256, 9_000, 160, 64, 24, 4_096
 #: Recall to which the margin between cells and the visits within a cell are widened.
-RECALL = 0.97
+RECALL = 0.955
 #: More equal copies than this of one vector are taken out of the index and answered from their class.
 HOT = 64
 
@@ -66,7 +67,7 @@ class Tree:
         if len(x) <= self.leaf:
             self.leaves += 1
             return -self.leaves
-        want = min(self.branch, -(-len(x) // self.leaf) + 1)
+        want = min(self.branch, -(-2 * len(x) // self.leaf))  # leaves are half full on average; only what is above is split again
         some = x[:: max(1, len(x) // self.fit)]
         c = centres_of(some, min(want, len(some)))
         near = np.argmax(x @ c.T, axis=1)
@@ -140,7 +141,7 @@ def search_cell(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     The leaf nearest to a query gives it a bar; from further leaves only what passes the bar is kept.
     """
     keep = k + 3
-    tree = Tree(x, LEAF)
+    tree = Tree(x, 2 * LEAF)
     home = tree.visit(x, 1)[0][:, 0]
     order = np.argsort(home, kind="stable")
     begin = np.searchsorted(home[order], np.arange(tree.leaves + 1))
@@ -306,7 +307,7 @@ def neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, id_: str = "id", n
         at = at[once]
         asks = np.flatnonzero(~member)
         if not len(at):
-            return pa.table({"id": pa.array([], pa.binary()), "nids": pa.array([], pa.list_(pa.binary())), "sims": pa.array([], pa.list_(pa.float64()))})
+            return pa.table({"id": pa.array([], pa.binary()), "entries": pa.array([], pa.list_(pa.binary()))})
         raw = rows_of(data.take(pa.array(at)), np.float32, dim)
         wide = raw.astype(np.float64)
         wide /= np.linalg.norm(wide, axis=1, keepdims=True)
@@ -324,20 +325,23 @@ def neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, id_: str = "id", n
         start = np.searchsorted(row, np.arange(len(ask)))
         near = np.arange(len(row)) - start[row] < k
         row, best, sims = row[near], best[near], sims[near]
+        # an entry is the distance in units of 1e-12, as six bytes that sort like the number, and the id
+        far = np.round((1.0 - sims) * 1e12).astype(np.int64).clip(0)
+        key = as_bytes(np.ascontiguousarray(far.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]))
+        entries = pc.binary_join_element_wise(key, ids.take(pa.array(at[best])), pa.scalar(b"", pa.binary()))
         ends = np.searchsorted(row, np.arange(len(ask) + 1)).astype(np.int32)
-        nids = pa.ListArray.from_arrays(pa.array(ends), ids.take(pa.array(at[best])))
-        values = pa.ListArray.from_arrays(pa.array(ends), pa.array(sims))
-        return pa.table({"id": ids.take(pa.array(np.concatenate([at, asks]))), "nids": nids, "sims": values})
+        lists = pa.ListArray.from_arrays(pa.array(ends), entries)
+        return pa.table({"id": ids.take(pa.array(np.concatenate([at, asks]))), "entries": lists})
 
     placed = current.select("id", "h", "vector").mapInArrow(place, "cell int, is_member boolean, id binary, vector binary")
-    partial = placed.groupBy("cell").applyInArrow(answer, "id binary, nids array<binary>, sims array<double>")
-    # the lists of a query, from at most 16 cells and their pieces, are merged
-    nearest = F.array_sort(F.transform("z", lambda z: F.struct((-z["sims"]).alias("d"), unpacked(z["nids"]).alias("n"), z["nids"].alias("b"))))
+    partial = placed.groupBy("cell").applyInArrow(answer, "id binary, entries array<binary>")
+    # the lists of a query, from at most 16 cells and their pieces, are merged: entries sort by distance, then by id
+    distance = F.conv(F.hex(F.substring("e", 1, 6)), 16, 10).cast("double") / 1e12
     found = (
         partial.groupBy("id")
-        .agg(F.flatten(F.collect_list(F.arrays_zip("nids", "sims"))).alias("z"))
-        .select("id", F.posexplode(F.slice(nearest, 1, k)).alias("p", "z"))
-        .select("id", F.col("z.b").alias("neighbour"), (-F.col("z.d")).alias("similarity"), (F.col("p") + 1).alias("rank"))
+        .agg(F.flatten(F.collect_list("entries")).alias("z"))
+        .select("id", F.posexplode(F.slice(F.sort_array("z"), 1, k)).alias("p", "e"))
+        .select("id", F.substring("e", 7, 1 << 30).alias("neighbour"), (1 - distance).alias("similarity"), (F.col("p") + 1).alias("rank"))
     )
     return found.unionByName(extra) if extra is not None else found
 
@@ -348,8 +352,8 @@ def fitted(current: DataFrame, total: int, k: int, dim: int) -> tuple[Tree, floa
     if not len(some):
         some = np.asarray(current.select("vector").limit(SAMPLE).toPandas()["vector"].tolist(), dtype=np.float32)
     some = unit(some.reshape(-1, dim))
-    cells = min(MOST_CELLS, max(1, -(-total // CELL)), max(1, len(some) // 8))
-    tree = Tree(some, -(-len(some) // cells), fit=SAMPLE)
+    cells = min(MOST_CELLS, max(LEAST_CELLS, -(-total // CELL)), max(1, len(some) // 8))
+    tree = Tree(some, -(-2 * len(some) // cells), fit=SAMPLE)
     share = np.bincount(tree.visit(some, 1)[0][:, 0], minlength=tree.leaves) / len(some)
     pieces = np.maximum(1, np.ceil(share * total / (4 * CELL))).astype(np.int64)
     asked = some[:: max(1, len(some) // PROBED)][:PROBED]
