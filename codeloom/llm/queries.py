@@ -7,8 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, lookalike, neighbours
-from codeloom.tables import read
+from codeloom.llm import bpe, lookalike, neighbours, syntax
+from codeloom.tables import current_files, extension, read
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.judged(current_files(spark, sf_dir)).where("invalid").select("file_id").distinct()
+
+
+def p3_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least repair of each invalid file: number of edits, cause, lines."""
+    ext = extension(F.col("path"))
+    files = current_files(spark, sf_dir).where(ext.isin(*syntax.LANGUAGES) & F.col("content").isNotNull())
+    return (
+        files.select("file_id", syntax.repairs(ext, F.col("content")).alias("r"))
+        .select("file_id", "r.*")
+        .where("edits > 0")
+        .distinct()
+    )
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of invalid files per repository and language, with what parser had read them."""
+    judged = syntax.judged(current_files(spark, sf_dir)).distinct()
+    parser = read(spark, sf_dir, "ast_data").groupBy("file_id").agg(F.max("parser").alias("parser"))
+    return (
+        judged.join(parser, "file_id", "left")
+        .groupBy("repository", "language")
+        .agg(
+            F.count(F.lit(1)).alias("files"),
+            F.count_if("invalid").alias("invalid_files"),
+            F.count_if(F.col("invalid") & F.col("parser").isNotNull()).alias("invalid_with_parser"),
+        )
+        .withColumn("share", F.col("invalid_files") / F.col("files"))
+    )
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +63,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p3_found": p3_found,
+        "p3_repairs": p3_repairs,
+        "p3_rates": p3_rates,
         "p4_found": p4_found,
         "p6_ids": p6_ids,
         "p8_unified": p8_unified,
