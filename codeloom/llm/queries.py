@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, lookalike, neighbours, syntax
+from codeloom.llm import bpe, docs, lookalike, neighbours, syntax
 from codeloom.tables import current_files, extension, read
 
 
@@ -47,6 +47,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbour_pairs(read(spark, sf_dir, "chunk_vectors"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = docs.documented(read(spark, sf_dir, "function_defs"), current_files(spark, sf_dir))
+    return pairs.where("informative").select("function_id").distinct()
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and description of each function whose documentation says something."""
+    pairs = docs.documented(read(spark, sf_dir, "function_defs"), current_files(spark, sf_dir))
+    return pairs.where("informative AND code IS NOT NULL").select("function_id", "code", "doc").dropDuplicates(["function_id"])
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = bpe.spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", bpe.ids_of(F.col("text")).alias("ids"))
@@ -67,6 +78,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_repairs": p3_repairs,
         "p3_rates": p3_rates,
         "p4_found": p4_found,
+        "p5_found": p5_found,
+        "p5_pairs": p5_pairs,
         "p6_ids": p6_ids,
         "p8_unified": p8_unified,
         "p8_found": p8_found,
