@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, docs, lookalike, neighbours, syntax
+from codeloom.llm import bpe, docs, lookalike, neighbours, secrets, syntax
 from codeloom.tables import current_files, extension, read
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.found(read(spark, sf_dir, "chunks").select("chunk_id", "content", "file_path"))
+
+
+def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chunk that holds a credential with its masked content."""
+    chunks = read(spark, sf_dir, "chunks").select("chunk_id", "content", "file_path")
+    return (
+        chunks.select("chunk_id", secrets.findings(F.col("content"), F.col("file_path")).alias("f"))
+        .where(F.size("f.lines") > 0)
+        .select("chunk_id", F.size("f.lines").alias("finds"), F.col("f.masked").alias("content"))
+        .distinct()
+    )
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.judged(current_files(spark, sf_dir)).where("invalid").select("file_id").distinct()
 
@@ -74,6 +89,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p2_found": p2_found,
+        "p2_masked": p2_masked,
         "p3_found": p3_found,
         "p3_repairs": p3_repairs,
         "p3_rates": p3_rates,
