@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, docs, lookalike, neighbours, secrets, syntax
+from codeloom.llm import bpe, docs, handwritten, lookalike, neighbours, secrets, syntax
 from codeloom.tables import current_files, extension, read
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.not_handwritten(current_files(spark, sf_dir)).select("file_id").distinct()
+
+
+def p1_handwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains: the files that people on the project wrote."""
+    files = current_files(spark, sf_dir)
+    ext = extension(F.col("path"))
+    mine = files.where(ext.isin(*handwritten.EXTENSIONS)).select("file_id", "repository", "path").distinct()
+    return mine.join(handwritten.not_handwritten(files).select("file_id"), "file_id", "left_anti")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found(read(spark, sf_dir, "chunks").select("chunk_id", "content", "file_path"))
 
@@ -89,6 +101,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_handwritten": p1_handwritten,
         "p2_found": p2_found,
         "p2_masked": p2_masked,
         "p3_found": p3_found,
