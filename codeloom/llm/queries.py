@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, docs, handwritten, lookalike, neighbours, secrets, syntax
+from codeloom.llm import bpe, docs, handwritten, lookalike, neighbours, packing, secrets, syntax
 from codeloom.tables import current_files, extension, read
 
 
@@ -90,6 +90,21 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", bpe.ids_of(F.col("text")).alias("ids"))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs_ = bpe.spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    limits = read(spark, sf_dir, "pack_limits")
+    return packing.packed(docs_.select("doc_id", bpe.count_of(F.col("text")).alias("tokens")), limits), limits
+
+
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)[0]
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, limits = _packed(spark, sf_dir)
+    return packing.fill(placed, limits)
+
+
 def p8_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = bpe.spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return lookalike.unified(docs).select("doc_id", "form")
@@ -112,6 +127,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p5_pairs": p5_pairs,
         "p6_ids": p6_ids,
+        "p7_packing": p7_packing,
+        "p7_fill": p7_fill,
         "p8_unified": p8_unified,
         "p8_found": p8_found,
     }
