@@ -48,6 +48,8 @@ FOLD = str.maketrans(
     | {"µ": "μ", "ﾞ": "\u3099", "ﾟ": "\u309a"}
 )
 TO_LATIN = str.maketrans(LATIN_OF)
+#: A letter of a script that can be dominant, or a sign that folds into one.
+OTHER_SCRIPTS = "[\\u00b5\\u0370-\\u052f\\u0530-\\u058f]"
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 EMOJI_JOIN = regex.compile(r"(?<=\p{Extended_Pictographic}[\ufe0f\U0001f3fb-\U0001f3ff]*)\u200d(?=\p{Extended_Pictographic})")
 OWN_SCRIPT = {s: regex.compile(rf"\p{{{s}}}") for s in BACK}
@@ -117,40 +119,38 @@ def unified(docs: DataFrame, key: str = "doc_id", text: str = "text", salts: int
     """
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
 
-    @F.pandas_udf("struct<form:string, asked:array<string>, words:array<string>>")
-    def folded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("struct<asked:array<string>, words:array<string>>")
+    def questions(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             forms = [None if t is None else fold(t) for t in texts]
             asked = [sorted(candidates(t)) for t in forms]
             words = [sorted(set(WORD.findall(t)) & set(a)) if a else [] for t, a in zip(forms, asked)]
-            yield pd.DataFrame({"form": forms, "asked": asked, "words": words})
+            yield pd.DataFrame({"asked": asked, "words": words})
 
     @F.pandas_udf("string")
     def repaired(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, known in batches:
             yield pd.Series(
-                [None if t is None else repair(t, set() if k is None else set(k)) for t, k in zip(texts, known)],
+                [None if t is None else repair(fold(t), set() if k is None else set(k)) for t, k in zip(texts, known)],
                 dtype=object,
             )
 
-    first = rows.withColumn("_f", folded("_t")).select("_k", "_t", "_f.*")
-    vocabulary = first.select(F.explode("words").alias("word")).distinct()
+    # only texts with a letter of the other scripts can ask for words; the rest never leaves its place
+    other = F.coalesce(F.col("_t").rlike(OTHER_SCRIPTS), F.lit(False))
+    asking = cut(rows.where(other).select("_k", questions("_t").alias("q")).select("_k", "q.*").where("size(asked) > 0"))
+    vocabulary = asking.select(F.explode("words").alias("word")).distinct()
     salted = vocabulary.select("word", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    asking = first.where(F.size("asked") > 0)
     found = (
         asking.select("_k", F.explode("asked").alias("word"))
         .withColumn("salt", F.pmod(F.xxhash64("_k"), F.lit(salts)).cast("int"))
         .join(salted, ["word", "salt"])
         .groupBy("_k")
         .agg(F.collect_set("word").alias("known"))
+        .withColumnRenamed("_k", "_j")
     )
-    plain = first.where(F.coalesce(F.size("asked"), F.lit(0)) <= 0).select("_k", "_t", "form", F.lit(None).cast("array<string>").alias("known"))
-    mixed = asking.join(found.withColumnRenamed("_k", "_j"), F.col("_k").eqNullSafe(F.col("_j")), "left").select(
-        "_k", "_t", "form", "known"
-    )
-    return plain.unionByName(mixed).select(
-        F.col("_k").alias(key), F.col("_t").alias(text), repaired("form", "known").alias("form")
-    )
+    plain = rows.where(~other).select("_k", "_t", F.lit(None).cast("array<string>").alias("known"))
+    mixed = rows.where(other).join(found, F.col("_k").eqNullSafe(F.col("_j")), "left").select("_k", "_t", "known")
+    return plain.unionByName(mixed).select(F.col("_k").alias(key), F.col("_t").alias(text), repaired("_t", "known").alias("form"))
 
 
 def same_look(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
