@@ -94,7 +94,7 @@ def rerank(hits: DataFrame) -> DataFrame:
         * F.when(span < 3, 0.95).otherwise(1.0)
         * F.when(F.col("expanded"), 0.98).otherwise(1.0)
     )
-    return hits.withColumn("score", F.round(F.least(score, F.lit(1.0)), 6))
+    return hits.withColumn("score", F.round(F.least(score, F.lit(1.0)), 12))
 
 
 def merged(primary: DataFrame, expanded: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def ranked(hits: DataFrame) -> DataFrame:
         * F.when(F.lower("entity_type").isin("function", "class", "method"), 1.1).otherwise(1.0)
         * F.when(F.col("search_type") == "definition", 1.1).otherwise(1.0)
     )
-    return hits.withColumn("rank_score", F.round(F.least(score, F.lit(1.0)), 6))
+    return hits.withColumn("rank_score", F.round(F.least(score, F.lit(1.0)), 12))
 
 
 def snippets(hits: DataFrame, content: DataFrame, n: int = 3) -> DataFrame:
