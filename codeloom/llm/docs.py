@@ -215,7 +215,7 @@ def documented(defs: DataFrame, files: DataFrame) -> DataFrame:
                     if doc is None and here is not None and here["doc"] is not None:
                         doc = literal(here["doc"]) if ext == ".py" else here["doc"]
                     if lines is None:
-                        lines = (text or "").split("\n")
+                        lines = text.split("\n") if text else []
                     if start <= 0 and here is not None:
                         start, end = here["line"], here["line"] + body_lines(ext, lines, here["line"]) - 1
                     code = "\n".join(lines[start - 1 : end]) if 0 < start <= len(lines) else None
