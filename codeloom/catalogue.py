@@ -679,7 +679,7 @@ def query_expansion(s: SparkSession, d: str) -> DataFrame:
 @query
 def entity_words(s: SparkSession, d: str) -> DataFrame:
     names = search.names_in(F.col("text"))
-    return read(s, d, "documents").select("doc_id", F.array_size(names).cast("bigint").alias("n"), F.try_element_at(names, F.lit(1)).alias("first"))
+    return read(s, d, "documents").select("doc_id", F.coalesce(F.array_size(names), F.lit(0)).cast("bigint").alias("n"), F.try_element_at(names, F.lit(1)).alias("first"))
 
 
 # --- events and feeds -------------------------------------------------------------------------------------------------

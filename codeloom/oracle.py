@@ -276,7 +276,7 @@ def queries() -> dict[str, str]:
         "query_expansion": """SELECT doc_id, CASE WHEN text IS NOT NULL THEN md5(array_to_string(list_slice(CASE WHEN len(s) < 3 THEN list_concat(s, ['code that ' || text, 'implementation of ' || text, 'function for ' || text]) ELSE s END, 1, 3), '|')) END AS hash FROM (
             SELECT doc_id, text, list_filter([CASE WHEN contains(lower(text), 'how') THEN replace(lower(text), 'how', 'what is the way') END, CASE WHEN contains(lower(text), 'where') THEN replace(lower(text), 'where', 'in which location') END,
             CASE WHEN contains(lower(text), 'find') THEN replace(lower(text), 'find', 'locate') END], lambda x: x IS NOT NULL) AS s FROM documents)""",
-        "entity_words": r"""SELECT doc_id, len(list_distinct(l)) AS n, l[1] AS first FROM (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(text, '[().]', ' ', 'g'), '\s+', ' ', 'g')), ' '),
+        "entity_words": r"""SELECT doc_id, coalesce(len(list_distinct(l)), 0) AS n, l[1] AS first FROM (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(text, '[().]', ' ', 'g'), '\s+', ' ', 'g')), ' '),
             lambda w: (regexp_matches(w, '[A-Z]') AND regexp_matches(w, '[a-z]')) OR contains(w, '_')) AS l FROM documents)""",
         "event_stats": sql(
             """SELECT count(*) FILTER (kind = 'FILE_PROCESSED') AS file_count, sum(CASE WHEN kind = 'ENTITY_CREATED' THEN coalesce(k, 1) ELSE 0 END)::BIGINT AS entity_count,
