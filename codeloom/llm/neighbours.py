@@ -4,8 +4,9 @@ The upper tree is fitted on a bounded sample (SAMPLE vectors, however many there
 about CELL vectors; every vector is stored in one cell. A query visits its own cell and each further cell whose centre
 is almost as similar to it, in best-bin-first order. How far "almost" reaches is calibrated: the true neighbours of
 PROBED query vectors are found by one exact pass over all vectors, and the margin is widened until their cells are
-reached for RECALL of them. Inside a cell the vectors themselves are divided by a tree again, and the number of leaves
-that a query visits there is doubled until exact search in that cell confirms RECALL.
+reached for RECALL of them. Visitors of a cell are candidates there as well, so a pair is met when either of the two
+visits the other. Inside a cell the vectors are divided by a tree again, and the number of leaves that a query visits
+there grows until exact search in that cell confirms the recall.
 
 Exact copies of one vector, of which there may be any number, count as HOT + 1 index rows at most: with k + 1 smallest
 ids of a vector in the index, further copies cannot enter any list, and their own lists are read off their class.
@@ -30,7 +31,7 @@ from codeloom.tables import cut
 #: Bounds of what is fitted or calibrated on the driver, and the intended size of a cell and of a leaf.
 SAMPLE, PROBED, CELL, LEAF, BRANCH, LEAST_CELLS, MOST_CELLS = 32_768, 256, 9_000, 160, 64, 24, 4_096
 #: Recall to which the margin between cells and the visits within a cell are widened.
-RECALL = 0.972
+RECALL = 0.955
 #: More equal copies than this of one vector are taken out of the index and answered from their class.
 HOT = 64
 
@@ -301,47 +302,50 @@ def neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, id_: str = "id", n
         ids = table.column("id").combine_chunks()
         data = table.column("vector").combine_chunks()
         member = np.asarray(table.column("is_member"))
-        at = np.flatnonzero(member)
-        names = [text_of(b) for b in ids.take(pa.array(at)).to_pylist()]
-        _, once = np.unique(names, return_index=True)  # a repeated row counts once; members in the order of their ids
-        at = at[once]
-        asks = np.flatnonzero(~member)
-        if not len(at):
+        if not member.any():
             return pa.table({"id": pa.array([], pa.binary()), "entries": pa.array([], pa.list_(pa.binary()))})
-        raw = rows_of(data.take(pa.array(at)), np.float32, dim)
-        wide = raw.astype(np.float64)
+        # a repeated row counts once; all in the order of their ids, so that equal similarities go to the smaller id
+        _, at = np.unique([text_of(b) for b in ids.to_pylist()], return_index=True)
+        mine = member[at]
+        wide = np.empty((len(at), dim))
+        wide[mine] = rows_of(data.take(pa.array(at[mine])), np.float32, dim)
+        wide[~mine] = rows_of(data.take(pa.array(at[~mine])), np.float16, dim)
         wide /= np.linalg.norm(wide, axis=1, keepdims=True)
-        ask = np.concatenate([wide, rows_of(data.take(pa.array(asks)), np.float16, dim).astype(np.float64)])
+        # visitors are candidates too: a pair is met where either of the two visits the other
         x = wide.astype(np.float32)
-        row, best = search_cell(ask.astype(np.float32), x, k)
+        row, best = search_cell(x, x, k)
         sims = np.empty(len(row))
         for s in range(0, len(row), 16_384):
-            sims[s : s + 16_384] = np.einsum("nd,nd->n", ask[row[s : s + 16_384]], wide[best[s : s + 16_384]])
+            sims[s : s + 16_384] = np.einsum("nd,nd->n", wide[row[s : s + 16_384]], wide[best[s : s + 16_384]])
         sims = np.round(sims, 12)
-        other = best != np.where(row < len(at), row, -1)
+        other = best != row
         row, best, sims = row[other], best[other], sims[other]
         by = np.lexsort((best, -sims, row))
         row, best, sims = row[by], best[by], sims[by]
-        start = np.searchsorted(row, np.arange(len(ask)))
+        start = np.searchsorted(row, np.arange(len(at)))
         near = np.arange(len(row)) - start[row] < k
         row, best, sims = row[near], best[near], sims[near]
         # an entry is the distance in units of 1e-12, as six bytes that sort like the number, and the id
         far = np.round((1.0 - sims) * 1e12).astype(np.int64).clip(0)
         key = as_bytes(np.ascontiguousarray(far.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]))
         entries = pc.binary_join_element_wise(key, ids.take(pa.array(at[best])), pa.scalar(b"", pa.binary()))
-        ends = np.searchsorted(row, np.arange(len(ask) + 1)).astype(np.int32)
+        ends = np.searchsorted(row, np.arange(len(at) + 1)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), entries)
-        return pa.table({"id": ids.take(pa.array(np.concatenate([at, asks]))), "entries": lists})
+        return pa.table({"id": ids.take(pa.array(at)), "entries": lists})
 
     placed = current.select("id", "h", "vector").mapInArrow(place, "cell int, is_member boolean, id binary, vector binary")
     partial = placed.groupBy("cell").applyInArrow(answer, "id binary, entries array<binary>")
-    # the lists of a query, from at most 16 cells and their pieces, are merged: entries sort by distance, then by id
+    # the lists of a query, from at most 16 cells and their pieces, are merged: entries sort by distance, then by id;
+    # of a neighbour met in several cells the nearest entry stays
     distance = F.conv(F.hex(F.substring("e", 1, 6)), 16, 10).cast("double") / 1e12
+    name = lambda e: F.substring(e, 7, 1 << 30)
+    once = F.filter("z", lambda e, i: ~F.exists(F.slice("z", F.lit(1), i), lambda o: name(o) == name(e)))
     found = (
         partial.groupBy("id")
         .agg(F.flatten(F.collect_list("entries")).alias("z"))
-        .select("id", F.posexplode(F.slice(F.sort_array("z"), 1, k)).alias("p", "e"))
-        .select("id", F.substring("e", 7, 1 << 30).alias("neighbour"), (1 - distance).alias("similarity"), (F.col("p") + 1).alias("rank"))
+        .select("id", F.sort_array("z").alias("z"))
+        .select("id", F.posexplode(F.slice(once, 1, k)).alias("p", "e"))
+        .select("id", name(F.col("e")).alias("neighbour"), (1 - distance).alias("similarity"), (F.col("p") + 1).alias("rank"))
     )
     return found.unionByName(extra) if extra is not None else found
 
