@@ -137,11 +137,11 @@ def island_round(round_: int, last: bool):
 def packed(items: DataFrame, limits: DataFrame, key: str = "doc_id", size: str = "tokens") -> DataFrame:
     """(limit_name, container, key, part, start, tokens): every item under every limit.
 
-    limits: limit_name, capacity_tokens. Limits without a positive capacity are left out. part counts the pieces of a
+    Items without a key are left out. limits: limit_name, capacity_tokens. Limits without a positive capacity are left out. part counts the pieces of a
     document from 0, start is the first token of a piece.
     """
     caps = (limits.where("capacity_tokens > 0").select("limit_name", F.col("capacity_tokens").cast("bigint").alias("cap")).distinct())
-    sized = cut(items.select(F.col(key).alias("k"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("n")))
+    sized = cut(items.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("n")))
     count = sized.count()
     # the limits are a handful of rows: each item meets each limit, read off one broadcast row
     every = caps.agg(F.collect_list(F.struct("limit_name", "cap")).alias("l"))
