@@ -225,9 +225,10 @@ def resolve_qualified(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def resolve_new(s: SparkSession, d: str) -> DataFrame:
-    """Resolution of what an earlier run (ids up to 7...) left open."""
+    """Resolution of what an earlier run, over the files last updated before July 2025, has left open."""
     sites, defs = e.call_sites(s, d), e.functions(s, d)
-    earlier = sites.where("substr(id, 1, 1) <= '7'").select(F.col("id").alias("src"))
+    before = e.files(s, d).where("last_updated < TIMESTAMP_NTZ '2025-07-01'").select(F.col("id").alias("caller_file_id"))
+    earlier = resolve.resolve(sites.join(before, "caller_file_id", "left_semi"), defs)
     return resolve.resolve_new(sites, defs, earlier)
 
 
@@ -467,13 +468,14 @@ def class_methods(s: SparkSession, d: str) -> DataFrame:
 def definitions(s: SparkSession, d: str) -> DataFrame:
     paths = e.files(s, d).select(F.col("id").alias("file_id"), "path")
     c = e.classes(s, d).select(F.col("id").alias("class_id"), F.col("name").alias("class_name"))
-    return e.functions(s, d).where(F.col("name").startswith("load")).join(paths, "file_id").join(c, "class_id", "left").select("name", "id", "path", "start_line", "end_line", "class_name")
+    return e.functions(s, d).join(paths, "file_id").join(c, "class_id", "left").select("name", "id", "path", "start_line", "end_line", "class_name")
 
 
 @query
 def usages(s: SparkSession, d: str) -> DataFrame:
     paths = e.files(s, d).select(F.col("id").alias("caller_file_id"), "path")
-    return e.call_sites(s, d).where(F.col("call_name").startswith("load")).join(paths, "caller_file_id").select("call_name", "caller_function_id", "path", "start_line")
+    defined = e.functions(s, d).select(F.col("name").alias("call_name")).distinct()
+    return e.call_sites(s, d).join(defined, "call_name", "left_semi").join(paths, "caller_file_id").select("call_name", "caller_function_id", "path", "start_line")
 
 
 @query

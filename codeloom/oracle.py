@@ -179,7 +179,7 @@ def queries() -> dict[str, str]:
             CASE WHEN bool_or(s.is_attribute_call AND d.class_id IN (SELECT id FROM cls)) THEN 1.0 ELSE 0.8 END::DOUBLE AS score
             FROM site s JOIN func d ON d.repository = s.repository AND d.name = s.call_name GROUP BY s.id"""
         ),
-        "resolve_new": sql("SELECT src, dst, score FROM res WHERE substr(src, 1, 1) > '7'"),
+        "resolve_new": sql("SELECT r.src, r.dst, r.score FROM res r JOIN site s ON s.id = r.src JOIN file f ON f.id = s.caller_file_id WHERE NOT f.last_updated < TIMESTAMP '2025-07-01'"),
         "calls": sql("SELECT caller, callee, score, sites FROM call"),
         "node_counts": sql(
             """SELECT 'File' AS label, count(*) AS n FROM file UNION ALL SELECT 'Class', count(*) FROM cls UNION ALL SELECT 'Function', count(*) FROM func
@@ -234,8 +234,8 @@ def queries() -> dict[str, str]:
             SELECT c2.dst FROM cont c1 JOIN gone ON id = c1.src JOIN cont c2 ON c2.src = c1.dst)"""
         ),
         "class_methods": sql("SELECT c.id, c.name, count(f.id) AS methods, string_agg(f.name, ',' ORDER BY f.name, f.id) AS names FROM cls c LEFT JOIN func f ON f.class_id = c.id GROUP BY ALL"),
-        "definitions": sql("SELECT f.name, f.id, p.path, f.start_line, f.end_line, c.name AS class_name FROM func f JOIN file p ON p.id = f.file_id LEFT JOIN cls c ON c.id = f.class_id WHERE starts_with(f.name, 'load')"),
-        "usages": sql("SELECT s.call_name, s.caller_function_id, p.path, s.start_line FROM site s JOIN file p ON p.id = s.caller_file_id WHERE starts_with(s.call_name, 'load')"),
+        "definitions": sql("SELECT f.name, f.id, p.path, f.start_line, f.end_line, c.name AS class_name FROM func f JOIN file p ON p.id = f.file_id LEFT JOIN cls c ON c.id = f.class_id"),
+        "usages": sql("SELECT s.call_name, s.caller_function_id, p.path, s.start_line FROM site s JOIN file p ON p.id = s.caller_file_id WHERE s.call_name IN (SELECT name FROM func)"),
         "inheritance_relations": sql(
             """SELECT c.id, p.name AS related, 'child' AS relationship_type FROM inh JOIN cls c ON c.id = src JOIN cls p ON p.id = dst
             UNION ALL SELECT p.id, c.name, 'parent' FROM inh JOIN cls c ON c.id = src JOIN cls p ON p.id = dst"""
