@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom import oracle
 from codeloom.functions import ids, text
 from codeloom.operators import analysis, chunking, embed, graph, resolve, search, syntax_tree, vectors
+from codeloom.plans.api import CodeIndex
 from codeloom.sources import entities as e
 from codeloom.sources import snapshots
 from codeloom.streaming import events as ev
@@ -148,6 +149,16 @@ def header_chunks(s: SparkSession, d: str) -> DataFrame:
     return chunking.header_chunks(_sources(s, d).select("file_id", "content"), _entities(s, d)).select("file_id", "end_line", F.md5("content").alias("hash"))
 
 
+@query
+def split_functions(s: SparkSession, d: str) -> DataFrame:
+    return chunking.split(_sources(s, d), "function").select("file_id", "start_line", "end_line", F.md5("content").alias("hash"))
+
+
+@query
+def split_classes(s: SparkSession, d: str) -> DataFrame:
+    return chunking.split(_sources(s, d), "class").select("file_id", "start_line", "end_line", F.md5("content").alias("hash"))
+
+
 @query
 def format_for_embedding(s: SparkSession, d: str) -> DataFrame:
     shown = chunking.for_embedding(F.col("content"), F.col("language"), F.col("file_path"), F.col("content_type"))
@@ -757,6 +768,18 @@ def stream_files(s: SparkSession, d: str) -> DataFrame:
     return index.read().select("id", "commit")
 
 
+@query
+def graph_report(s: SparkSession, d: str) -> DataFrame:
+    return CodeIndex(s, d).report()
+
+
+@query
+def hybrid_search(s: SparkSession, d: str) -> DataFrame:
+    """Every document whose id is divisible by 20 as a query against all chunks and all definitions."""
+    asked = read(s, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return CodeIndex(s, d).search(asked, 5).select("query_id", "file_path", "start_line", "end_line", "entity_id", "source", "rank_score")
+
+
 @query
 def id_rules(s: SparkSession, d: str) -> DataFrame:
     """Files whose id follows from repository and path, and those whose doesn't."""

@@ -89,6 +89,22 @@ def _case(table: dict[str, str]) -> str:
     return LANG.format(" ".join(f"WHEN '{e}' THEN '{v}'" for e, v in table.items()))
 
 
+def _split(kind: str) -> str:
+    from codeloom.operators.chunking import STARTS, STOPS
+
+    def test(table: dict[str, str]) -> str:
+        return f"CASE WHEN family = '.py' THEN regexp_matches(l, '{table['.py']}') ELSE regexp_matches(l, '{table['.js']}') END"
+
+    lines = "string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))"
+    return sql(
+        f"""SELECT file_id, a AS start_line, b AS end_line, md5(array_to_string(list_slice(ls, a, b), chr(10))) AS hash FROM (
+        SELECT file_id, ls, i AS a, coalesce(lead(i) OVER (PARTITION BY file_id ORDER BY i) - 1, len(ls)) AS b, {test(STARTS[kind])} AS begins FROM (
+        SELECT file_id, family, ls, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (
+        SELECT file_id, {lines} AS ls, CASE WHEN ends_with(lower(path), '.py') THEN '.py' WHEN ends_with(lower(path), '.js') OR ends_with(lower(path), '.ts') THEN '.js' END AS family FROM src)
+        WHERE family IS NOT NULL AND ls IS NOT NULL) WHERE {test(STOPS[kind])} OR {test(STARTS[kind])}) WHERE begins"""
+    )
+
+
 def queries() -> dict[str, str]:
     from codeloom.functions import text as t
 
@@ -150,6 +166,23 @@ def queries() -> dict[str, str]:
             (SELECT file_id, {lines} AS ls FROM src) s JOIN (SELECT file_id, min(start_line) AS f FROM (SELECT file_id, start_line FROM func UNION ALL SELECT file_id, start_line FROM cls)
             WHERE start_line > 0 GROUP BY 1) USING (file_id) WHERE f > 1) WHERE regexp_matches(content, '\\S')"""
         ),
+        "split_functions": _split("function"),
+        "split_classes": _split("class"),
+        "graph_report": sql(
+            """SELECT 'nodes' AS section, 'file' AS key, count(*)::DOUBLE AS value FROM file UNION ALL SELECT 'nodes', 'class', count(*) FROM cls UNION ALL SELECT 'nodes', 'function', count(*) FROM func
+            UNION ALL SELECT 'nodes', 'call_site', count(*) FROM site UNION ALL SELECT 'nodes', 'import_site', count(*) FROM imp UNION ALL SELECT 'edges', 'contains', count(*) FROM cont
+            UNION ALL SELECT 'edges', 'inherits_from', count(*) FROM inh UNION ALL SELECT 'edges', 'resolves_to', count(*) FROM res UNION ALL SELECT 'edges', 'calls', count(*) FROM call
+            UNION ALL SELECT 'dead', 'functions', count(*) FROM dead
+            UNION ALL SELECT 'dead', 'classes', count(*) FROM cls WHERE NOT starts_with(name, 'Test') AND NOT ends_with(name, 'Test') AND NOT ends_with(name, 'TestCase')
+            AND id NOT IN (SELECT dst FROM inh) AND id NOT IN (SELECT class_id FROM call JOIN func f ON f.id = callee WHERE class_id IS NOT NULL)
+            UNION ALL SELECT 'resolution', 'total', count(*) FROM site UNION ALL SELECT 'resolution', 'resolved', count(*) FROM res
+            UNION ALL SELECT 'resolution', 'pct', round((SELECT count(*) FROM res) * 100.0::DOUBLE / (SELECT count(*) FROM site), 6)
+            UNION ALL SELECT 'callers', 'nodes', count(*) FROM func UNION ALL SELECT 'callers', 'avg_degree', round((SELECT count(*) FROM call)::DOUBLE / (SELECT count(*) FROM func), 6)
+            UNION ALL SELECT 'callers', 'max_degree', coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM call GROUP BY callee)
+            UNION ALL SELECT 'methods', 'nodes', count(*) FROM cls UNION ALL SELECT 'methods', 'avg_degree', round((SELECT count(*) FROM func WHERE class_id IN (SELECT id FROM cls))::DOUBLE / (SELECT count(*) FROM cls), 6)
+            UNION ALL SELECT 'methods', 'max_degree', coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM func WHERE class_id IN (SELECT id FROM cls) GROUP BY class_id)
+            UNION ALL SELECT 'languages', coalesce(language, 'none'), count(*) FROM file GROUP BY ALL"""
+        ),
         "format_for_embedding": sql(
             """SELECT chunk_id, md5('LANGUAGE: ' || coalesce(language, 'unknown') || chr(10) || 'FILE: ' || coalesce(file_path, '') || chr(10) || 'TYPE: ' ||
             CASE WHEN content_type IN ('class', 'function', 'header') THEN content_type ELSE 'code' END || chr(10) ||
