@@ -29,13 +29,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chunk that holds a credential with its masked content."""
-    chunks = read(spark, sf_dir, "chunks").select("chunk_id", "content", "file_path")
-    return (
-        chunks.select("chunk_id", secrets.findings(F.col("content"), F.col("file_path")).alias("f"))
-        .where(F.size("f.lines") > 0)
-        .select("chunk_id", F.size("f.lines").alias("finds"), F.col("f.masked").alias("content"))
-        .distinct()
-    )
+    return secrets.masked(read(spark, sf_dir, "chunks"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,14 +38,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least repair of each invalid file: number of edits, cause, lines."""
-    ext = extension(F.col("path"))
-    files = current_files(spark, sf_dir).where(ext.isin(*syntax.LANGUAGES) & F.col("content").isNotNull())
-    return (
-        files.select("file_id", syntax.repairs(ext, F.col("content")).alias("r"))
-        .select("file_id", "r.*")
-        .where("edits > 0")
-        .distinct()
-    )
+    return syntax.repairs(current_files(spark, sf_dir))
 
 
 def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
