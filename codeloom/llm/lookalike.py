@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -67,6 +68,7 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFC", text.translate(FOLD)).replace(KEPT, "\u200d")
 
 
+@lru_cache(maxsize=200_000)
 def skeleton(token: str) -> str:
     """The token with every look-alike letter in its Latin form, also below an accent."""
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", token).translate(TO_LATIN))
@@ -78,6 +80,7 @@ def dominant(skeleton_: str) -> str | None:
     return found[0] if len(found) == 1 else None
 
 
+@lru_cache(maxsize=100_000)
 def restored(skeleton_: str) -> str | None:
     """The skeleton of a mixed token with its dominant script's look-alikes; None where there is nothing to restore."""
     script = dominant(skeleton_)
