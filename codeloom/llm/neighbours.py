@@ -31,7 +31,7 @@ from codeloom.tables import cut
 #: Bounds of what is fitted or calibrated on the driver, and the intended size of a cell and of a leaf.
 SAMPLE, PROBED, CELL, LEAF, BRANCH, LEAST_CELLS, MOST_CELLS = 32_768, 256, 9_000, 160, 64, 24, 4_096
 #: Recall to which the margin between cells and the visits within a cell are widened.
-RECALL = 0.97
+RECALL = 0.955
 #: More equal copies than this of one vector are taken out of the index and answered from their class.
 HOT = 64
 
