@@ -132,6 +132,21 @@ def test_validity(name):
         assert syntax.invalid(name, t), t
 
 
+def test_statements_over_many_lines():
+    many = range(300)
+    chain = "const s = 'a'\n" + "".join(f"  + x{i} * -2\n" for i in many)
+    union = "type A =\n" + "".join(f"  | 'x{i}'\n" for i in many)
+    calls = "a\n" + "".join(f"  .b({i})\n" for i in many)
+    ladder = "class A { void f() { " + "".join(f"if (a == {i}) {{ b(); }} else\n" for i in many) + "{ c(); } } }"
+    bundle = "var " + ",".join(f"a{i}=function(){{return {i}}}" for i in many) + ";"
+    for name, text, bad in [
+        ("javascript", chain, chain + "  + * 2\n"), ("typescript", union + ";\n", union + "  | = 1;\n"), ("javascript", calls, calls + "  .;\n"),
+        ("java", ladder, ladder.replace("{ c(); }", "else { c(); }")), ("javascript", bundle, bundle[:-1] + ",;"),
+    ]:
+        assert not syntax.invalid(name, text), text[:40]
+        assert syntax.invalid(name, bad), bad[:40]
+
+
 def test_python_charts_agree_with_the_interpreter(spark):
     tool = syntax.language("python")
     raw = spark.read.parquet(f"{SMALL}/files_raw.parquet").where("path LIKE '%.py' AND content IS NOT NULL").collect()
