@@ -147,6 +147,20 @@ def test_statements_over_many_lines():
         assert syntax.invalid(name, bad), bad[:40]
 
 
+def test_long_constructs_are_read():
+    terms = ",".join(f"a{i}[{i}]=b{i}*2" for i in range(3000))
+    assert not syntax.invalid("javascript", terms + ";") and syntax.invalid("javascript", terms + ",c d;")
+    assert not syntax.invalid("java", "class A { int a = " + "b * 2 - " * 3000 + "1; }") and syntax.invalid("java", "class A { int a = " + "b * 2 - " * 3000 + "* 1; }")
+
+
+def test_templates_at_any_depth():
+    text = "x"
+    for _ in range(12):
+        text = "`a ${f({b: " + text + "}, '}')} c`"
+    assert not syntax.invalid("javascript", f"y = {text};\n")
+    assert syntax.invalid("javascript", "y = " + text.replace("b: x", "b: x x") + ";\n") and syntax.invalid("javascript", f"y = {text[:-1]};\n")
+
+
 def test_python_charts_agree_with_the_interpreter(spark):
     tool = syntax.language("python")
     raw = spark.read.parquet(f"{SMALL}/files_raw.parquet").where("path LIKE '%.py' AND content IS NOT NULL").collect()
