@@ -94,29 +94,27 @@ ENCODED = [
     ("escape", re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\[0-3][0-7]{2}){4,}")),
 ]
 CONFIG = (".env", ".properties", ".yaml", ".yml", ".ini", ".cfg", ".conf", ".toml", ".sh", ".netrc", ".pgpass", ".txt", ".md")
-#: A text without any of these words, signs or runs has no credential; found at the speed of a substring search.
-HINTS = ("pass", "login", "pwd", "pw", "secret", "cred", "auth", "bearer", "basic ", "kennwort", "geheim", "contrase", "senha", "clave", "pin=", "private key", "-u ", "-e ", "--user", "sig=")
-RUN = re.compile(r"[A-Za-z0-9+/_\-]{20,}")
-MIXED = re.compile(r"[0-9+/]|[a-z][A-Z]{2,}[a-z]|[A-Z]{2}[a-z]{1,2}[A-Z]")
-LAYER = re.compile(r"(?:%[0-9A-Fa-f]{2}[^\s%]{0,8}){3}|(?:\\x[0-9A-Fa-f]{2}){4}|(?:\\u00[0-9A-Fa-f]{2}){4}|(?:\\[0-3][0-7]{2}){4}")
+#: Heads of FIELDS, BASIC, LOGIN and COMMENT_FIELD that are no names of secrets.
+HEADS = ("-u", "user", "login", "account", "key", "sig", "basic")
+#: Names of secrets that hold no shorter one; what a text has of them is found at the speed of a substring search.
+HINTS = tuple(sorted(n for n in SECRET_NAMES if not any(h in n for h in HEADS) and not any(o != n and o in n for o in SECRET_NAMES)))
+LETTERS = str.maketrans("", "", "".join(chr(c) for c in range(128) if not chr(c).isalpha()))
+#: Runs that can be a token or encoded, and literals that are joined to something.
+RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}|[\"'`](?:\s*\+\s*|\s+)[\"'`]|[\"'`]\s*,\s*[\"'`](?=.*join)|join.*[\"'`]\s*,\s*[\"'`]")
 
 
 def hint(text: str) -> bool:
-    """Whether a text can hold a credential at all."""
+    """Whether a text can hold a credential at all: never false where a search finds one."""
     low = text.lower()
-    for word in HINTS:
-        if word in low:
+    for head in HEADS:
+        if head in low:
             return True
-    if "token" in low and "token" in low.replace("token_bucket", "").replace("tokenbucket", "").replace("token bucket", ""):
+    if "://" in low and "@" in low or low.count("%") >= 3 or low.count("\\") >= 4 or RUN.search(text):
         return True
-    if "key" in low and "key" in low.replace("key=lambda", "").replace("share a key", ""):
-        return True
-    if "://" in low and "@" in low:
-        return True
-    for m in RUN.finditer(text):
-        if MIXED.search(m[0]):
-            return True
-    return ("%" in text or "\\" in text) and LAYER.search(text) is not None
+    letters = low.translate(LETTERS)  # a name may be written in several words
+    if not letters.isascii():
+        letters = re.sub(r"[^a-z]", "", letters)
+    return any(name in letters for name in HINTS)
 
 
 def words(name: str) -> list[str]:
@@ -378,11 +376,13 @@ def search(content: str | None, path: str | None) -> tuple[list[int], str | None
     lines = content.split("\n")
     numbers: list[int] = []
     before = ""
+    named = False  # whether the line above has a hint, perhaps the name of this line's value
     i = 0
     while i < len(lines):
         line = lines[i]
-        spans = search_line(line, before, config) if line and hint(line) else []
-        before = line
+        hinted = bool(line) and hint(line)
+        spans = search_line(line, before, config) if line and (hinted or named) else []
+        before, named = line, hinted
         if spans:
             numbers.append(i + 1)
             key = PRIVATE.search(line)
