@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import bpe, docs, handwritten, lookalike, neighbours, packing, secrets, syntax
-from codeloom.tables import current_files, extension, read
+from codeloom.tables import current_files, cut, extension, read
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,19 +77,20 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", bpe.ids_of(F.col("text")).alias("ids"))
 
 
-def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _sizes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs_ = bpe.spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    limits = read(spark, sf_dir, "pack_limits")
-    return packing.packed(docs_.select("doc_id", bpe.count_of(F.col("text")).alias("tokens")), limits), limits
+    return docs_.select("doc_id", bpe.count_of(F.col("text")).alias("tokens")), read(spark, sf_dir, "pack_limits")
 
 
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed(spark, sf_dir)[0]
+    return packing.packed(*_sizes(spark, sf_dir))
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, limits = _packed(spark, sf_dir)
-    return packing.fill(placed, limits)
+    """Per limit: containers used, those of plain best fit, the least that the tokens need, and the share of room used."""
+    sizes, limits = _sizes(spark, sf_dir)
+    sizes = cut(sizes)
+    return packing.fill(packing.packed(sizes, limits), limits, packing.seeds(sizes, limits))
 
 
 def p8_unified(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,15 +81,46 @@ def test_evolution_is_no_worse_than_first_fit():
     rng = random.Random(2)
     for capacity in (50, 100, 997):
         sizes = [rng.randrange(1, capacity + 1) for _ in range(200)]
-        bins = packing.evolved(sizes, capacity, None, 1)
+        bins = packing.evolved(sizes, capacity, [], 1)
         assert sorted(i for b in bins for i in b) == list(range(200))
         assert all(sum(sizes[i] for i in b) <= capacity for b in bins)
         assert -(-sum(sizes) // capacity) <= len(bins) <= first_fit(sizes, capacity)
-    assert packing.evolved([], 10, None, 1) == [] and packing.evolved([0, 0], 10, None, 1) == [[0, 1]]
+    assert packing.evolved([], 10, [], 1) == [] and packing.evolved([0, 0], 10, [], 1) == [[0, 1]]
+
+
+def triples(n, seed):
+    """Sizes that fill n bins of 1,000 with three each: the case that best fit is worst at."""
+    rng = random.Random(seed)
+    sizes = []
+    for _ in range(n):
+        a = rng.randint(380, 480)
+        b = rng.randint(250, (1000 - a) // 2)
+        sizes += [a, b, 1000 - a - b]
+    return sizes
+
+
+def test_evolution_beats_best_fit():
+    for n in (40, 100):
+        sizes = triples(n, n)
+        assert len(packing.evolved(sizes, 1000, [], 1)) <= n * 1.03 < 1.1 * n <= len(packing.seed(sizes, 1000).bins)
+
+
+def test_elite_chromosomes_migrate():
+    sizes = triples(30, 1)
+    best = [[3 * i, 3 * i + 1, 3 * i + 2] for i in range(30)]
+    assert len(packing.evolved(sizes, 1000, [best], 1, children=0)) == 30 < len(packing.seed(sizes, 1000).bins)
+
+
+def test_fewer_containers_than_the_seed(spark):
+    sizes = triples(60, 4)
+    items = spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, tokens bigint")
+    limits = spark.createDataFrame([("k", 1000)], "limit_name string, capacity_tokens bigint")
+    row = packing.fill(packing.packed(items, limits), limits, packing.seeds(items, limits)).collect()[0]
+    assert row.least == 60 <= row.containers <= 62 < 66 <= row.seed
 
 
 def test_packing_keeps_every_token(spark, monkeypatch):
-    monkeypatch.setattr(packing, "ISLAND", 60)
+    monkeypatch.setattr(packing, "BLOCK", 60)
     rng = random.Random(9)
     sizes = {i: rng.choice([0, 1, 7, 30, 64, 65, 128, 700]) for i in range(250)}
     items = spark.createDataFrame([(i, n, "x") for i, n in sizes.items()] + [(999, None, "x")], "doc_id bigint, tokens bigint, container string")
