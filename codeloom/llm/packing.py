@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from codeloom.tables import cut
 
 #: Documents of a block, rounds between which unfilled bins change their block, islands of a block, epochs of a round.
-BLOCK, ROUNDS, ISLANDS, EPOCHS = 1_500, 2, 3, 2
+BLOCK, ROUNDS, ISLANDS, EPOCHS = 1_500, 2, 2, 2
 #: Chromosomes of an island, its children in one epoch, those without a better one after which it ends, and free documents
 #: whose pairs are looked at.
-POPULATION, CHILDREN, PATIENCE, PAIRED = 8, 80, 40, 60
+POPULATION, CHILDREN, PATIENCE, PAIRED = 6, 60, 20, 60
 
 
 class Chromosome:
@@ -185,13 +185,16 @@ def epoch(number: int):
         pdf = pdf.reset_index(drop=True)
         cap, me = int(pdf["cap"][0]), int(pdf["island"][0])
         rows, sizes, given = chromosomes(pdf)
+        if me and len(seed(sizes, cap).bins) <= -(-sum(sizes) // cap):
+            return pdf[:0]  # nothing to gain, the first island has the bins
         bins = evolved(sizes, cap, given, number * 1_009 + int(pdf["block"][0]) * 31 + me)
         name = [""] * len(sizes)
         for b, group in enumerate(bins):
             for i in group:
                 name[i] = f"{pdf['limit_name'][0]}:{number}:{pdf['block'][0]}:{me}:{b}"
         own = pdf.loc[rows].assign(container=name, origin=me)
-        return pd.concat([own, own.assign(island=(me + 1) % ISLANDS)])
+        done = len(bins) <= -(-sum(sizes) // cap)
+        return own if done else pd.concat([own, own.assign(island=(me + 1) % ISLANDS)])
 
     return island
 
