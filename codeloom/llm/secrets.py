@@ -3,9 +3,10 @@
 Each line is taken apart into literals (quoted strings, parts joined by + or join, values of configuration lines,
 comments) with the name that they are given to. A literal is searched for credentials of known shape, for fields that
 carry one (addresses, command lines, connection strings, markup) and, under a name that calls for a secret, is itself
-judged. Literals that are base64, hex, percent or backslash encoded are decoded, layer by layer, and searched again;
-decoded bytes are parsed as key containers (DER: PKCS#1, PKCS#8, SEC1; OpenSSH). A find in a decoded layer masks the
-encoded literal that encloses it.
+judged. Literals that are base64, hex, percent or backslash encoded are decoded, layer by layer until nothing decodes (each
+layer is shorter than the one around it), and searched again; decoded bytes are parsed as key containers (DER: PKCS#1,
+PKCS#8, SEC1; OpenSSH), also where a key's text goes over several literals on lines of their own. A find in a decoded
+layer masks the encoded literal that encloses it.
 
 Values to be filled in, references to environments or vaults, names of fields, checksums, ids, certificates and public
 keys are not credentials. Null and empty contents have none.
@@ -23,8 +24,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Layers of encoding that are taken off one literal.
-DEPTH = 4
 MASK = "*"
 
 # Last words of names that hold a secret, and last words that make such a name harmless.
@@ -34,24 +33,29 @@ SECRET_NAMES = frozenset(
     cred creds credential credentials auth authorization bearer kennwort passwort geheimnis motdepasse contrasena clave senha pin
     connectionstring""".split()
 )
-# Shapes of tokens, each with the text that stands before its random part.
+#: Those of them under which a plain word is a secret, too.
+PASSWORD_NAMES = frozenset("password passwd passwrd pwd passphrase passcode secret kennwort passwort geheimnis motdepasse contrasena senha".split())
+# Shapes of tokens that services publish, each with the text that stands before its random part.
 TOKENS = re.compile(
     r"""(?<![\w/+=.\-])(?:
       eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{16,}
     | (?:AK[A-Z]{1,2}|ASIA)[A-Z0-9]{16,17}(?::[A-Za-z0-9/+]{30,}=*)?(?![A-Za-z0-9])
-    | (?:gh[pousr]|github_pat|glpat|xox[abprs]|npm|pypi|hf|dop_v1|shpat|sk|pk|rk|sq0[a-z]{3}|whsec|plx_pat|wlo|[a-z]{2,4}_(?:live|prod|test|pat|sec|key))[_\-](?=[\w\-]*\d)[\w\-]{20,}
+    | (?:gh[pousr]|github_pat|glpat|xox[abprs]|npm|pypi|hf|dop_v1|shpat|sk|pk|rk|sq0[a-z]{3}|whsec|[a-z]{2,4}_(?:live|prod|test|pat|sec|key))[_\-](?=[\w\-]*\d)[\w\-]{20,}
     | (?:sk|rk|pk)_(?:live|prod|test)_[A-Za-z0-9]{16,}
-    | (?:qtk|glpat|sk|key)-(?=[\w\-]*\d)[A-Za-z0-9_\-]{18,}
-    | hb\.(?=\w*\d)[A-Za-z0-9]{24,}
+    | (?:glpat|sk|key)-(?=[\w\-]*\d)[A-Za-z0-9_\-]{18,}
     | AIza[\w\-]{35} | SG\.[\w\-]{20,}\.[\w\-]{30,} | ya29\.[\w\-]{20,}
     )""",
     re.X,
 )
+#: A token of no service in particular: a short name, a sign, and a long run that no hand wrote.
+ISSUED = re.compile(r"(?<![\w/+=.\-@:#$%&?])(?P<head>[a-z][a-z0-9]{1,5}(?:[_\-][a-z]{2,5})?[_\-.])(?P<body>[A-Za-z0-9][A-Za-z0-9_\-]{17,})(?![\w/+=.\-(@])")
+# Heads of sums, ids and parts that look like such a token.
+NO_TOKEN = re.compile(r"^(?:sha\d*|md\d|crc\d*|blake\w*|etag|uuid|guid|rev|ref|git|img|css|js|id|req|trace|span|build|chunk|hash|sum|v\d+|x64|utf)[_\-.]")
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PRIVATE_WHOLE = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----(?:[\s\S]*?-----END \1-----|(?:[A-Za-z0-9+/=\s\\,:\-]|\\[nr])*)")
 # Places in a text that carry a credential; group v is the credential.
 FIELDS = [
-    re.compile(r"[a-z][\w+.\-]*://[^\s/:@\"'<>]*:(?P<v>[^\s/@\"'<>]+)@", re.I),
+    re.compile(r"(?<![\w+.\-])[a-z][\w+.\-]*+://[^\s/:@\"'<>]*:(?P<v>[^\s/@\"'<>]+)@", re.I),
     re.compile(r"(?:^|\s)(?:-u|--user)[ =][\"']?[\w.\-]+:(?P<v>[^\s\"'@]+)"),
     re.compile(r"-u\s+\S+\s+-p(?P<v>[^\s\"']+)"),
     re.compile(r"--?(?:password|passwd|pass|token|api[_-]?key|secret|access[_-]?token|auth[_-]?token)[= ](?P<v>[^\s\"'&]+)", re.I),
@@ -73,7 +77,7 @@ COMMENT_FIELD = re.compile(
 PLACEHOLDER = re.compile(
     r"""(?ix)^(?:
       [x*.\-_#?0•]{2,} | <[^>]*>.* | \$\{.* | \$\(.* | \{\{.* | \{[\w.\s]*\} | %\(?\w+\)?[s%]? | \$\w+ | @\w+@ | __\w+__ | \#\{.*
-    | (?:.*[^a-z0-9])?(?:your|my|example|changeme|change[_\-]?me|change[_\- ]?it|replace|insert|placeholder|dummy|redacted|fill[_\- ]?in|to[_\-]?do|tbd|
+    | (?:.*[^a-z0-9])?(?:your|example|changeme|change[_\-]?me|change[_\- ]?it|replace|insert|placeholder|dummy|redacted|fill[_\- ]?in|to[_\-]?do|tbd|
        fixme|sample|enter|goes[_\- ]?here|not[_\-]?set|not[_\-]?a[_\-]?real|fake)(?:[^a-z0-9].*)?
     | (?:none|null|nil|true|false|undefined|empty|unset|default|user|password|passwd|pass|pwd|secret|token|key|api_?key|credentials?|admin|root|test|
        bearer|basic|oauth2?|digest|user_key|jwt|hmac|public|private|string|str|xxx+|prompt|input|env|vault|file|stdin|ask)
@@ -83,14 +87,14 @@ PLACEHOLDER = re.compile(
 UUID = re.compile(r"^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$", re.I)
 HOST = re.compile(r"^(?:https?://)?(?:[a-z0-9\-]+\.)+[a-z]{2,}(?::\d+)?(?:/[\w./\-]*)?$", re.I)
 STRING = re.compile(r"\"\"\"|'''|\"((?:[^\"\\]|\\.)*)\"?|'((?:[^'\\]|\\.)*)'?|`((?:[^`\\]|\\.)*)`?")
-NAME = re.compile(r"([A-Za-z_][\w.\-]*)[\"'`]?\]?\s*(?::\s*[A-Za-z_][\w<>\[\], ]*?)?\s*(?:=>|:=|\?=|\+=|=|:|\()\s*(?:[\[(]\s*|[\"'`]{2}\.join\(\[?\s*|String\.join\(\"\",\s*|[rbfuRBFU]{1,2}(?=$))*$")
+NAME = re.compile(r"(?<![\w.\-])([A-Za-z_][\w.\-]*)[\"'`]?\]?\s*(?::\s*[A-Za-z_][\w<>\[\], ]*?)?\s*(?:=>|:=|\?=|\+=|=|:|\()\s*(?:[\[(]\s*|[\"'`]{2}\.join\(\[?\s*|String\.join\(\"\",\s*|[rbfuRBFU]{1,2}(?=$))*$")
 PAIR = re.compile(r"\(\s*[\"'`]([A-Za-z_][\w.\-]*)[\"'`]\s*,\s*$")
 SETTING = re.compile(r"^(\s*(?:export\s+|set\s+|ENV\s+|-\s+)?[\"']?([A-Za-z_][\w.\-]*)[\"']?\s*(?:=|:\s|:$)\s*)(.*?)\s*$")
 JOINED = re.compile(r"^\s*(?:\+|,|\.\.|\.)?\s*$")
 ENCODED = [
     ("base64", re.compile(r"(?<![\w+/=\-])[A-Za-z0-9+/_\-]{16,}={0,2}(?![\w+/=])")),
     ("hex", re.compile(r"(?<![\w])(?:0x)?(?:[0-9a-fA-F]{2}){10,}(?![\w])")),
-    ("percent", re.compile(r"(?:[\w.\-~+/:@=&]*%[0-9A-Fa-f]{2}){3,}[\w.\-~+/:@=&%]*")),
+    ("percent", re.compile(r"(?<![\w.\-~+/:@=&])(?:[\w.\-~+/:@=&]*+%[0-9A-Fa-f]{2}){3,}[\w.\-~+/:@=&%]*")),
     ("escape", re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\[0-3][0-7]{2}){4,}")),
 ]
 CONFIG = (".env", ".properties", ".yaml", ".yml", ".ini", ".cfg", ".conf", ".toml", ".sh", ".netrc", ".pgpass", ".txt", ".md")
@@ -117,6 +121,23 @@ def hint(text: str) -> bool:
     return any(name in letters for name in HINTS)
 
 
+def drawn(body: str) -> bool:
+    """Whether a run of letters and digits looks drawn at random: capitals, small letters and digits change often."""
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in body if c.isalnum()]
+    turns = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    return len(set(kinds)) == 3 and 3 * turns >= len(kinds)
+
+
+def tokens(text: str) -> Iterator[re.Match]:
+    """Tokens by their shape."""
+    for m in TOKENS.finditer(text):
+        if not placeholder(m[0]):
+            yield m
+    for m in ISSUED.finditer(text):
+        if drawn(m["body"]) and not NO_TOKEN.match(m["head"]) and not TOKENS.match(m[0]):
+            yield m
+
+
 def words(name: str) -> list[str]:
     name = re.sub(r"\d+$", "", name)
     return [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)]
@@ -134,21 +155,37 @@ def calls_for_secret(name: str | None) -> bool:
 
 def placeholder(value: str) -> bool:
     v = value.strip()
-    return len(v) < 4 or PLACEHOLDER.match(v) is not None or len(set(v)) <= 2
+    if len(v) < 4 or PLACEHOLDER.match(v) is not None or len(set(v)) <= 2:
+        return True
+    parts = re.split(r"[^A-Za-z0-9]+", v)  # my-password, but not my-Secr3t-pw9
+    return any(p.lower() in ("my", "sample") for p in parts) and all(p.isalpha() or p.isdigit() for p in parts if p)
+
+
+def names_field(value: str) -> bool:
+    """Whether a value is itself the name of a field: it ends like one that holds a secret, or consists of such words."""
+    return calls_for_secret(value) or all(w in SECRET_NAMES for w in words(value))
 
 
-def secret_value(value: str) -> bool:
-    """Whether a literal under a secret's name can be one: no blank in it, and digits or mixed letters."""
+def secret_value(value: str, name: str | None = None) -> bool:
+    """Whether a literal under a secret's name can be one: digits or mixed letters; under a password's name also letters
+    of one kind, and a few words where one has digits."""
     v = value.strip()
-    if len(v) < 6 or placeholder(v) or re.search(r"\s", v) or HOST.match(v) or re.match(r"^[\w+.\-]+://", v) and "@" not in v:
+    if len(v) < 6 or placeholder(v) or HOST.match(v) or re.match(r"^[\w+.\-]+://", v) and "@" not in v:
         return False
     if re.fullmatch(r"[\d.,:\-+]+", v) and len(v) < 8:
         return False
+    if re.fullmatch(r"[A-Za-z_\-.]+", v) and names_field(v):
+        return False
     if re.search(r"[{}()<>\[\]$%]{2}|^\W*$|^[/~.]+/|^\w+\(|\$\{|\{\w*\}", v):
         return False
+    password = bool(name) and not {*words(name)[-1:], "".join(words(name)[-2:])}.isdisjoint(PASSWORD_NAMES)
+    if re.search(r"\s", v):
+        return password and 2 <= len(v.split()) <= 4 and re.search(r"\d", v) is not None and not v[0].isupper() and not re.search(r"[.,:;?!]", v)
     if re.search(r"\d", v):
         return True
-    return bool(re.search(r"[a-z]", v) and re.search(r"[A-Z]", v) and len(v) >= 8 and (not v.isalpha() or len(v) >= 12))
+    if re.search(r"[a-z]", v) and re.search(r"[A-Z]", v) and len(v) >= 8 and (not v.isalpha() or len(v) >= 12):
+        return True
+    return password and re.fullmatch(r"[A-Za-z]+", v) is not None and not names_field(v)
 
 
 # --- key containers -------------------------------------------------------------------------------------------------
@@ -225,43 +262,41 @@ def readable(data: bytes) -> str | None:
 # --- search ---------------------------------------------------------------------------------------------------------
 
 
-def spans_in(text: str, depth: int = 0) -> list[tuple[int, int]]:
+def spans_in(text: str) -> list[tuple[int, int]]:
     """Spans of credentials in a text, whatever it is called."""
     found: list[tuple[int, int]] = []
     for m in PRIVATE_WHOLE.finditer(text):
         found.append(m.span())
-    for m in TOKENS.finditer(text):
-        if not placeholder(m[0]):
-            found.append(m.span())
+    found += [m.span() for m in tokens(text)]
     for field in FIELDS:
         for m in field.finditer(text):
             v = m["v"]
             if "n" in field.groupindex and not calls_for_secret(m["n"]):
                 continue
-            if not placeholder(v) and not re.search(r"[{}$<>]|^\W+$", v) and len(v) >= 5 and (re.search(r"\d", v) or not v.islower() and not v.isupper()):
+            plain = v.isalpha() and (v.islower() or v.isupper())
+            if not placeholder(v) and not re.search(r"[{}$<>]|^\W+$", v) and len(v) >= 5 and (re.search(r"\d", v) or not v.islower() and not v.isupper() or field is FIELDS[0] and plain and not names_field(v)):
                 found.append(m.span("v"))
     for m in BASIC.finditer(text):
         data = decoded("base64", m["v"])
         if data and (t := readable(data)) and re.fullmatch(r"[^\s:]+:\S{3,}", t) and not placeholder(t.split(":", 1)[1]):
             found.append(m.span("v"))
-    if depth < DEPTH:
-        for kind, pattern in ENCODED:
-            for m in pattern.finditer(text):
-                if any(a <= m.start() < b for a, b in found):
-                    continue
-                data = decoded(kind, m[0])
-                if data and (private_container(data) or (inner := readable(data)) and inner != m[0] and hides(inner, depth + 1)):
-                    found.append(m.span())
+    for kind, pattern in ENCODED:
+        for m in pattern.finditer(text):
+            if any(a <= m.start() < b for a, b in found):
+                continue
+            data = decoded(kind, m[0])
+            if data and (private_container(data) or (inner := readable(data)) and len(inner) < len(m[0]) and hides(inner)):
+                found.append(m.span())
     return found
 
 
-def hides(text: str, depth: int) -> bool:
+def hides(text: str) -> bool:
     """Whether a decoded text holds a credential: by its shape, in a field, or given to a secret's name."""
-    if spans_in(text, depth):
+    if spans_in(text):
         return True
     for line in text.splitlines():
         m = re.search(r"([A-Za-z_][\w.\-]*)[\"']?\s*[=:]\s*[\"']?([^\s\"',;]+)", line)
-        if m and calls_for_secret(m[1]) and secret_value(m[2]):
+        if m and calls_for_secret(m[1]) and secret_value(m[2], m[1]):
             return True
     return False
 
@@ -297,7 +332,7 @@ def literals(line: str) -> list[tuple[str | None, str, list[tuple[int, int]], bo
             head = re.sub(r"[\"'`]{2}\.join\(\s*\[?\s*$|\[\s*$", "", head)
         m = NAME.search(head) or PAIR.search(head)
         tail = line[pieces[j][1] :].lstrip()
-        whole = not tail.startswith(("+", ".format", "%")) and not head.rstrip().endswith("+")
+        whole = not tail.startswith(("+", ".format", ".split", "%")) and not head.rstrip().endswith("+")
         found.append((m[1] if m else None, "".join(p[4] for p in pieces[i : j + 1]), [(p[2], p[3]) for p in pieces[i : j + 1]], whole))
         i = j + 1
     return found
@@ -313,18 +348,18 @@ def search_line(line: str, before: str, config: bool) -> list[tuple[int, int]]:
             m = re.search(r"([A-Za-z_][\w.\-]*)[\"']?\s*(?:(?::\s*\w+\s*)?=\s*[(\[]?|:\s*[(\[]?)\s*$", before) if only else None
             name = m[1] if m else None
         hit = spans_in(value)
-        if hit or (whole and calls_for_secret(name) and secret_value(value)):
+        if hit or (whole and calls_for_secret(name) and secret_value(value, name)):
             found += place(hit or [(0, len(value))], spans)
     setting = SETTING.match(line) if config else None
     if setting and setting[3] and setting[3][0] not in "\"'`|>&*{[":
         value, at = setting[3], len(setting[1])
         bare = re.sub(r"\s+#.*$", "", value)
         hit = spans_in(bare)
-        if not hit and calls_for_secret(setting[2]) and secret_value(bare):
+        if not hit and calls_for_secret(setting[2]) and secret_value(bare, setting[2]):
             hit = [(0, len(bare))]
         found += [(a + at, b + at) for a, b in hit]
     block = re.match(r"\s*(?:-\s+)?([A-Za-z_][\w.\-]*):\s*[|>]?[-+]?\s*$", before) if config else None
-    if block and calls_for_secret(block[1]) and not setting and secret_value(line) and line.strip()[0] not in "\"'-":
+    if block and calls_for_secret(block[1]) and not setting and secret_value(line, block[1]) and line.strip()[0] not in "\"'-":
         found.append((len(line) - len(line.lstrip()), len(line.rstrip())))
     mark = re.search(r"(?:^|\s)(?:#|//|\*|/\*|--|<!--|;)\s?", line)
     rest = line[mark.end() :] if mark else ""
@@ -339,7 +374,7 @@ def search_line(line: str, before: str, config: bool) -> list[tuple[int, int]]:
     if not found:
         # what is neither quoted nor a setting: shapes only
         found += [m.span() for m in PRIVATE.finditer(line)]
-        found += [m.span() for m in TOKENS.finditer(line) if not placeholder(m[0])]
+        found += [m.span() for m in tokens(line)]
         for field in FIELDS[:1] + FIELDS[6:8]:
             found += [m.span("v") for m in field.finditer(line) if not placeholder(m["v"]) and not re.search(r"[{}$<>]", m["v"]) and re.search(r"\d", m["v"])]
     return merged(found)
@@ -375,6 +410,7 @@ def search(content: str | None, path: str | None) -> tuple[list[int], str | None
     config = (path or "").lower().endswith(CONFIG) or "." not in (path or "").rpartition("/")[2]
     lines = content.split("\n")
     numbers: list[int] = []
+    wrapped = wrapped_keys(lines)
     before = ""
     named = False  # whether the line above has a hint, perhaps the name of this line's value
     i = 0
@@ -383,7 +419,12 @@ def search(content: str | None, path: str | None) -> tuple[list[int], str | None
         hinted = bool(line) and hint(line)
         spans = search_line(line, before, config) if line and (hinted or named) else []
         before, named = line, hinted
-        if spans:
+        if i in wrapped:
+            numbers.append(i + 1)
+            for k, a, b in wrapped[i]:
+                lines[k] = blank(lines[k], [(a, b)])
+                i = k
+        elif spans:
             numbers.append(i + 1)
             key = PRIVATE.search(line)
             lines[i] = blank(line, spans)
@@ -396,6 +437,29 @@ def search(content: str | None, path: str | None) -> tuple[list[int], str | None
     return numbers, "\n".join(lines)
 
 
+#: A line that holds nothing but a literal of base64, as far as a key's text goes over lines.
+PART = re.compile(r"^\s*(?:[\w.\[\]]+\s*(?:=|:|\+=)\s*)?[(\[]?\s*(?:\+\s*)?[rb]?[\"'`]?(?P<v>[A-Za-z0-9+/]{16,}={0,2})(?:\\n)?[\"'`]?\s*[+,;)\]\\]*\s*$")
+
+
+def wrapped_keys(lines: list[str]) -> dict[int, list[tuple[int, int, int]]]:
+    """First line -> (line, from, to) of each part, of keys whose text goes over several lines without any marks."""
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    i = 0
+    while i < len(lines):
+        parts: list[tuple[int, int, int]] = []
+        while i < len(lines) and len(lines[i]) < 4_096 and (m := PART.match(lines[i])):
+            parts.append((i, *m.span("v")))
+            i += 1
+            if lines[i - 1][parts[-1][2] - 1] == "=":
+                break
+        if len(parts) > 1:
+            data = decoded("base64", "".join(lines[k][a:b] for k, a, b in parts))
+            if data and private_container(data):
+                found[parts[0][0]] = parts
+        i += not parts
+    return found
+
+
 def blank(line: str, spans: list[tuple[int, int]]) -> str:
     for a, b in reversed(spans):
         line = line[:a] + MASK * (b - a) + line[b:]

@@ -336,7 +336,17 @@ CLEAN = [
 ]
 
 
-@pytest.mark.parametrize("path,line", FOUND)
+PLAIN = [
+    ("a.py", 'password = "correcthorsebattery"'), ("a.py", 'db_password = "qwertyuiopasdf"'), ("a.yaml", "PASSWORD: letmein"), ("a.py", 'u = "postgres://u:abcdef@h/db"'), ("a.py", 'password = "my-Secr3t-pw9"'), ("a.py", 'pwd="pass word 12"'),
+    ("a.py", "t = 'qq7_Zx81mQp0LdT5vRw2Kc9YbN'"), ("a.py", "blob = '" + __import__("functools").reduce(lambda b, _: base64.b64encode(b), range(7), f"token={TOKEN}".encode()).decode() + "'"),
+]
+CLEAN += [
+    ("a.py", 'password = "my-password"'), ("a.py", "password = 'password_field'"), ("a.js", "password: 'userPassword'"), ("a.py", 'pwd = "Must be at least 8"'), ("a.js", 'u = "https://user:password@h/"'), ("a.py", 'token="keyword"'), ("a.py", "password = 'sample'"),
+    ("a.js", '"integrity": "sha512-AbCdEf0123456789AbCdEf0123456789AbCdEf=="'), ("a.js", 'var token_ab="bucketname".split("");'), ("a.py", "x = 'id_Zx81mQp0LdT5vRw2Kc9YbN'"), ("a.py", "secret = load_secret('kv/app/secret')"),
+]
+
+
+@pytest.mark.parametrize("path,line", FOUND + PLAIN)
 def test_credential(path, line):
     lines, masked = secrets.search(f"x = 1\n{line}\ny = 2", path)
     assert lines == [2] and masked.split("\n")[0] == "x = 1" and masked.split("\n")[2] == "y = 2" and masked != f"x = 1\n{line}\ny = 2" and len(masked) == len(f"x = 1\n{line}\ny = 2")
@@ -360,7 +370,7 @@ HINTED = [
 ]
 
 
-@pytest.mark.parametrize("path,line", FOUND + CLEAN + HINTED)
+@pytest.mark.parametrize("path,line", FOUND + PLAIN + CLEAN + HINTED)
 def test_hints_lose_nothing(monkeypatch, path, line):
     with_hint = secrets.search(line, path)
     monkeypatch.setattr(secrets, "hint", lambda text: True)
@@ -377,6 +387,17 @@ def test_key_containers():
     assert secrets.search("k = '" + base64.b64encode(rsa).decode() + "'", "a.py")[0] == [1]
 
 
+@pytest.mark.parametrize("open_,each,close", [("k = (", '    "{}"', ")"), ("key: |", "    {}", "x: 1"), ("const k =", "  '{}' +", "  '';")])
+def test_keys_over_several_literals(open_, each, close):
+    integer = lambda n: bytes([0x02, len(n)]) + n
+    body = integer(b"\x00") + b"".join(integer(bytes([i + 1]) * 24) for i in range(8))
+    key = base64.b64encode(bytes([0x30, 0x81, len(body)]) + body).decode()
+    parts = [key[i : i + 48] for i in range(0, len(key), 48)]
+    lines, masked = secrets.search("\n".join([open_, *(each.format(p) for p in parts), close]), "a.yaml")
+    assert lines == [2] and not any(p in masked for p in parts) and masked.split("\n")[-1] == close
+    assert secrets.search("\n".join([open_, *(each.format(p[::-1]) for p in parts), close]), "a.yaml")[0] == []
+
+
 def test_finds_of_nulls_repeats_and_long_lines(spark):
     long = "x" * 300_000 + "\npassword = 'Harbor6591!'"
     df = spark.createDataFrame([("a", None, None), ("b", "", "x.py"), ("c", long, "x.py"), ("c", long, "x.py")], "chunk_id string, content string, file_path string")
