@@ -104,17 +104,35 @@ HEADS = ("-u", "user", "login", "account", "key", "sig", "basic")
 HINTS = tuple(sorted(n for n in SECRET_NAMES if not any(h in n for h in HEADS) and not any(o != n and o in n for o in SECRET_NAMES)))
 LETTERS = str.maketrans("", "", "".join(chr(c) for c in range(128) if not chr(c).isalpha()))
 #: Runs that can be a token or encoded, and literals that are joined to something.
-RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}|[\"'`](?:\s*\+\s*|\s+)[\"'`]|[\"'`]\s*,\s*[\"'`](?=.*join)|join.*[\"'`]\s*,\s*[\"'`]")
+RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}")
+JOINS = re.compile(r"[\"'`](?:\s*\+\s*|\s+)[\"'`]|[\"'`]\s*,\s*[\"'`](?=.*join)|join.*[\"'`]\s*,\s*[\"'`]")
+LONG_HEX = re.compile(r"[0-9a-fA-F]{20}")
+
+
+def telling(text: str) -> bool:
+    """Whether a text has a token's shape or a run that decodes to something; never false where a search finds such a one."""
+    m = None
+    for m in RUN.finditer(text):
+        run = m[0]
+        data = decoded("base64", run)
+        if data and (data.isascii() or data[0] == 0x30 or readable(data)) or LONG_HEX.search(run):
+            return True
+    return m is not None and (TOKENS.search(text) is not None or ISSUED.search(text) is not None)
 
 
-def hint(text: str) -> bool:
-    """Whether a text can hold a credential at all: never false where a search finds one."""
+def hint(text: str, named: bool = True, shaped: bool = True) -> bool:
+    """Whether a text can hold a credential at all: never false where a search finds one. named, shaped: what is looked for."""
     low = text.lower()
-    for head in HEADS:
-        if head in low:
-            return True
-    if "://" in low and "@" in low or low.count("%") >= 3 or low.count("\\") >= 4 or RUN.search(text):
+    if named:
+        for head in HEADS:
+            if head in low:
+                return True
+    if shaped and ("://" in low and "@" in low or low.count("%") >= 3 or low.count("\\") >= 4 or telling(text) or JOINS.search(text)):
         return True
+    return named and names(low)
+
+
+def names(low: str) -> bool:
     letters = low.translate(LETTERS)  # a name may be written in several words
     if not letters.isascii():
         letters = re.sub(r"[^a-z]", "", letters)
@@ -405,18 +423,23 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def search(content: str | None, path: str | None) -> tuple[list[int], str | None]:
     """Lines on which a credential begins, and the content with every credential masked (its length is kept)."""
-    if not content or not hint(content):
+    if not content:
+        return [], content
+    low = content.lower()
+    called = any(head in low for head in HEADS) or names(low)
+    shaped = RUN.search(content) is not None or hint(content, named=False)
+    if not called and not shaped:
         return [], content
     config = (path or "").lower().endswith(CONFIG) or "." not in (path or "").rpartition("/")[2]
     lines = content.split("\n")
     numbers: list[int] = []
-    wrapped = wrapped_keys(lines)
+    wrapped = wrapped_keys(lines) if KEY_BEGINS.search(content) else {}
     before = ""
     named = False  # whether the line above has a hint, perhaps the name of this line's value
     i = 0
     while i < len(lines):
         line = lines[i]
-        hinted = bool(line) and hint(line)
+        hinted = bool(line) and hint(line, called, shaped)
         spans = search_line(line, before, config) if line and (hinted or named) else []
         before, named = line, hinted
         if i in wrapped:
@@ -441,6 +464,10 @@ def search(content: str | None, path: str | None) -> tuple[list[int], str | None
 PART = re.compile(r"^\s*(?:[\w.\[\]]+\s*(?:=|:|\+=)\s*)?[(\[]?\s*(?:\+\s*)?[rb]?[\"'`]?(?P<v>[A-Za-z0-9+/]{16,}={0,2})(?:\\n)?[\"'`]?\s*[+,;)\]\\]*\s*$")
 
 
+#: How a line begins that the first part of such a key may stand on: a DER sequence or OpenSSH's mark in base64.
+KEY_BEGINS = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P]|b3B)[A-Za-z0-9+/]{14}")
+
+
 def wrapped_keys(lines: list[str]) -> dict[int, list[tuple[int, int, int]]]:
     """First line -> (line, from, to) of each part, of keys whose text goes over several lines without any marks."""
     found: dict[int, list[tuple[int, int, int]]] = {}
