@@ -1,9 +1,11 @@
 """Problem 5: functions paired with their documentation.
 
-A packrat grammar per language finds the functions of a file and the documentation that belongs to each: in Python the
-string that opens the body, else the /** */ block that ends on the line before. It walks the file by logical lines, so
-that what stands in strings and comments is no code. A row of function_defs meets its function by its first line, or by
-its name where the row has lost its place. Rows with a docstring keep it; the source is asked where it is null.
+A packrat grammar per language finds the functions of a file with the offsets of head, body and documentation: in Python
+the string that opens the body, else the /** */ block right before the function and its annotations. It walks the file by
+logical lines, so that what stands in strings and comments is no code. A row of function_defs meets its function by its
+first line, or by its name where the row has lost its place; the code of the pair is the text between the grammar's
+offsets. A docstring of the row comes before the block of the source. Rows that no function of a readable text meets keep
+their docstring and the lines that the row names.
 
 A documentation says nothing when, apart from the words of the function's name, its parameters, types and the terms
 that documentation is made of, no word is left.
@@ -19,26 +21,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.peg import Expression, Packrat, choice, maybe, named, rule, seq, star, token
+from codeloom.llm.peg import Expression, Packrat, choice, maybe, named, nested, rule, seq, star, token
 
 STRING = r"\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'"
 PY_STRING = r'(?i:[rbuf]|rb|br|fr|rf)?(?:"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|' + r"'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|" + STRING + ")"
+MARGIN = re.compile(r"[ \t\f]*")
+NO_CODE = re.compile(PY_STRING + r"|#[^\n]*")
+#: A regular expression behind a sign that no value ends with.
+REGULAR = r"(?:(?<=[=(,:\[!&|?;+{}])|(?<=[=(,:\[!&|?;+{}] )|(?<=return ))/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 BLOCK, TEMPLATE = r"/\*[\s\S]*?\*/", r"`(?:[^`\\]|\\[\s\S])*`"
 
 
-def balanced(open_: str, close: str, other: str) -> Expression:
-    """A bracketed text, brackets of its kind nested, strings and comments skipped."""
-    inside = rule(f"balanced{open_}")
-    return seq(token(re.escape(open_)), star(choice(token(other), inside)), token(re.escape(close)))
-
-
 def grammar(language: str) -> dict[str, Expression]:
     """Rules of one language; `line` takes a logical line, `function` a function's head with the names it binds."""
     if language == "python":
         gap = r"(?:[ \t\f]|\\\r?\n)*"
         other = PY_STRING + r"|#[^\n]*|[^()\"'#]+|[\"']"
         return {
-            "balanced(": balanced("(", ")", other),
+            "balanced(": nested("balanced(", "(", ")", other),
             "string": token(PY_STRING),
             "head": seq(
                 token(gap + r"(?:async[ \t]+)?def[ \t]+"), named("name", token(r"\w+")), token(gap + r"(?:\[[^\]\n]*\])?" + gap),
@@ -48,12 +48,22 @@ def grammar(language: str) -> dict[str, Expression]:
             "function": seq(named("function", rule("head")), maybe(rule("doc"))),
             "line": token(r"(?:" + PY_STRING + r"|#[^\n]*|\\\r?\n|[^\"'#\n\\]+|[\"'\\])*(?:\n|\Z)"),
         }
-    code = rf"(?:{STRING}|{TEMPLATE}|//[^\n]*|{BLOCK}|[^\"'`/()\n]+|[/\n\"'`])"
+    regular = "" if language == "java" else REGULAR + "|"
+    code = rf"(?:{STRING}|{TEMPLATE}|//[^\n]*|{BLOCK}|{regular}[^\"'`/()\n]+|[/\n\"'`])"
     gap = rf"(?:\s|//[^\n]*|{BLOCK})*"
     rules = {
-        "balanced(": balanced("(", ")", code),
-        # a documentation block takes its line to the end; the function must begin on the next one
-        "comment": seq(token(r"[ \t]*"), named("doc", token(r"/\*\*(?!/)[\s\S]*?\*/")), token(r"[ \t]*(?:\r?\n)")),
+        "balanced(": nested("balanced(", "(", ")", code),
+        "balanced{": nested("balanced{", "{", "}", code.replace("()\\n]+", "{}\\n]+")),
+        # the function, or its first annotation, begins on the line of the block's end or on the next one
+        "comment": seq(token(r"[ \t]*"), named("doc", token(r"/\*\*(?!/)[\s\S]*?\*/")), token(r"[ \t]*(?:\r?\n)?")),
+        "mark": seq(token(r"[ \t]*@(?!interface\b)[\w.$]+"), maybe(rule("balanced(")), token(r"[ \t]*\r?\n")),
+        # an expression after an arrow: to the ; or , or the end of the line outside brackets
+        "value": seq(token(r"(?!\{)"), star(choice(rule("balanced("), rule("balanced{"), token(rf"{STRING}|{TEMPLATE}|//[^\n]*|{BLOCK}|\[|\]|[^\"'`/(){{}}\[\];,\n]+|/")))),
+        "body": choice(
+            rule("balanced{"),
+            seq(token(r"\s*=>\s*"), choice(rule("balanced{"), rule("value"))),
+            seq(token(r"(?:\s*:\s*(?:\{[^{}\n]*\}[\[\]|\w\s.<>,]*?|[^={;\n]+))?\s*"), rule("balanced{")),
+        ),
         "line": token(rf"(?:{STRING}|{TEMPLATE}|//[^\n]*|{BLOCK}|[^\"'`/\n]+|[/\"'`])*(?:\n|\Z)"),
     }
     name = named("name", token(r"#?[\w$]+"))
@@ -74,15 +84,51 @@ def grammar(language: str) -> dict[str, Expression]:
                 name, token(generic + gap), rule("balanced("), token(result + r"\s*[{;]"),
             ),
         )
-    rules["function"] = seq(maybe(rule("comment")), named("function", rule("head")))
+    rules["function"] = seq(maybe(rule("comment")), named("marks", star(rule("mark"))), named("function", rule("head")))
     return rules
 
 
 GRAMMARS = {ext: grammar(name) for ext, name in {".py": "python", ".js": "javascript", ".ts": "typescript", ".java": "java"}.items()}
 
 
+def python_end(parser: Packrat, begin: int, end: int) -> int:
+    """Where the body of the function ends whose head is at these offsets: before the first logical line no deeper than it."""
+    text = parser.text
+    first = text.rfind("\n", 0, begin) + 1
+    margin = len(MARGIN.match(text, first)[0].expandtabs())
+    at, last, open_ = end, end, 0
+    while 0 <= at < len(text):
+        if at > end and not open_:  # a line that goes on in brackets may have any margin
+            m = MARGIN.match(text, at)
+            blank = text[m.end() : m.end() + 1] in ("", "\n", "\r", "#")
+            if not blank and len(m[0].expandtabs()) <= margin:
+                break
+        else:
+            blank = False
+        after = max(parser.parse("line", at), at + 1)
+        code = NO_CODE.sub("", text[at:after])
+        open_ = max(0, open_ + sum(map(code.count, "([{")) - sum(map(code.count, ")]}")))
+        at = after
+        last = last if blank else at
+    return len(text[:last].rstrip())
+
+
+def brace_end(parser: Packrat, end: int) -> int:
+    """Where the body ends that follows a head; the end of the head where there is none."""
+    text = parser.text
+    if text[end - 1] == "{":
+        found = parser.parse("balanced{", end - 1)
+    elif text[end - 2 : end] == "=>":
+        found = parser.parse("body", end - 2)
+    elif text[end - 1] == ";":
+        found = end
+    else:
+        found = parser.parse("body", end)
+    return found
+
+
 def functions(ext: str, text: str) -> list[dict]:
-    """name, line (of the function), offsets and documentation of each function of a file, in order."""
+    """name, line (of the function), offsets of code and documentation of each function of a file, in order."""
     rules = GRAMMARS.get(ext)
     if rules is None or not text:
         return []
@@ -96,11 +142,18 @@ def functions(ext: str, text: str) -> list[dict]:
             line += text.count("\n", counted, begin)
             counted = begin
             doc = text[slice(*got["doc"])] if "doc" in got else None
-            found.append({"name": text[slice(*got["name"])], "line": line + text.count("\n", begin, got["name"][0]), "begin": begin, "doc": doc})
+            stop = python_end(parser, begin, end) if python else brace_end(parser, end)
+            marks = got.get("marks", (begin, begin))
+            found.append(
+                {
+                    "name": text[slice(*got["name"])], "line": line + text.count("\n", begin, got["name"][0]), "first": line - text.count("\n", *marks), "doc": doc,
+                    "begin": text.rfind("\n", 0, got["name"][0]) + 1, "end": stop if stop >= 0 else None,
+                }
+            )
             # go on after the head (Python: after its string as well, else it would be read as code)
             at = max(end, got["doc"][1] if python and doc is not None else end)
         at = max(parser.parse("line", at), at + 1) if python or "\n" not in text[at : at + 1] else at + 1
-        if len(parser.memo) > 10_000:
+        if len(parser.memo) > 100_000:
             parser.memo.clear()
     return found
 
@@ -212,7 +265,7 @@ def documented(defs: DataFrame, files: DataFrame) -> DataFrame:
             for path, text, defs in zip(batch["path"], batch["content"], batch["defs"]):
                 ext = re.search(r"(\.[^./]+)?$", path or "")[0].lower()
                 found = functions(ext, text or "")
-                at = {f["line"]: f for f in found}
+                at = {f["first"]: f for f in found} | {f["line"]: f for f in found}
                 by_name = {f["name"]: f for f in found}
                 lines = None
                 for d in defs:
@@ -221,27 +274,14 @@ def documented(defs: DataFrame, files: DataFrame) -> DataFrame:
                     doc = d["docstring"]
                     if doc is None and here is not None and here["doc"] is not None:
                         doc = literal(here["doc"]) if ext == ".py" else here["doc"]
-                    if lines is None:
-                        lines = text.split("\n") if text else []
-                    if start <= 0 and here is not None:
-                        start, end = here["line"], here["line"] + body_lines(ext, lines, here["line"]) - 1
-                    code = "\n".join(lines[start - 1 : end]) if 0 < start <= len(lines) else None
+                    if here is not None and here["end"] is not None:
+                        code = text[here["begin"] : here["end"]]
+                    else:
+                        lines = lines or (text or "").split("\n")
+                        start = here["line"] if start <= 0 and here is not None else start
+                        code = "\n".join(lines[start - 1 : max(end, start)]) if 0 < start <= len(lines) and text else None
                     params = None if d["params"] is None else list(d["params"])
                     rows.append((d["id"], code, doc, informative(doc, d["name"], params, d["return_type"])))
             yield pd.DataFrame(rows, columns=["function_id", "code", "doc", "informative"])
 
     return grouped.join(texts, "file_id", "left").select("path", "content", "defs").mapInPandas(pair, schema)
-
-
-def body_lines(ext: str, lines: list[str], first: int) -> int:
-    """Number of lines of the function that begins on line `first` (1 is the first), by its margin."""
-    head = lines[first - 1]
-    margin = len(head) - len(head.lstrip())
-    count = 1
-    for line in lines[first:]:
-        if line.strip() and len(line) - len(line.lstrip()) <= margin:
-            if ext != ".py" and line.strip()[:1] in "})":
-                count += 1
-            break
-        count += 1
-    return count

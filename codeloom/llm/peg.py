@@ -43,6 +43,40 @@ def token(pattern: str) -> Expression:
     return run
 
 
+def nested(name: str, open_: str, close: str, other: str) -> Expression:
+    """A bracketed text, brackets of its kind nested to any depth, `other` skipped between them; every pair is remembered."""
+    match = re.compile(other).match
+
+    def run(p: Packrat, at: int) -> int:
+        text, memo = p.text, p.memo
+        if not text.startswith(open_, at):
+            return -1
+        open_at: list[int] = []
+        i = at
+        while True:
+            if text.startswith(open_, i):
+                known = memo.get((name, i))
+                if known is None:
+                    open_at.append(i)
+                    i += 1
+                    continue
+                i = known[0]
+            elif text.startswith(close, i):
+                i += 1
+                memo[name, open_at.pop()] = (i, {})
+            else:
+                m = match(text, i)
+                i = m.end() if m and m.end() > i else -1
+            if i < 0:
+                for begun in open_at:
+                    memo[name, begun] = (-1, {})
+                return -1
+            if not open_at:
+                return i
+
+    return run
+
+
 def rule(name: str) -> Expression:
     return lambda p, at: p.parse(name, at)
 

@@ -294,6 +294,24 @@ def test_functions_and_their_documentation():
     assert docs.functions(".py", "") == [] and docs.functions(".md", "def f(): pass") == []
 
 
+def test_offsets_annotations_and_one_line_functions():
+    code = lambda ext, text: [(f["name"], text[f["begin"] : f["end"]], f["doc"]) for f in docs.functions(ext, text)]
+    java = "class A {\n    /** Does it. */\n    @Override\n    @SuppressWarnings(\"x)\")\n    public int f(int a) {\n        if (a > 0) { return 1; } // }\n        return '}';\n    }\n    int g() { return 2; }\n}\n"
+    got = code(".java", java)
+    assert got[0] == ("f", java[java.index("    public") : java.index("    int g") - 1], "/** Does it. */") and got[1] == ("g", "    int g() { return 2; }", None)
+    assert docs.functions(".java", java)[0]["first"] == 3 and docs.functions(".java", java)[0]["line"] == 5
+    ts = "/** Adds up. */ export const b = (y: {a: {b: number}}) => y.a.b + 1;\nclass C {\n  /** Doc. */\n  @Input()\n  set(x: string): void {\n    this.x = `}${x}`;\n  }\n}\nexport function h(a) {\n  return { a };\n}\nconst k = async (z) => {\n  await z;\n};\n"
+    got = code(".ts", ts)
+    assert got[0] == ("b", "/** Adds up. */ export const b = (y: {a: {b: number}}) => y.a.b + 1", "/** Adds up. */")
+    assert [g[0] for g in got] == ["b", "set", "h", "k"] and got[1][1] == "  set(x: string): void {\n    this.x = `}${x}`;\n  }" and got[1][2] == "/** Doc. */"
+    assert got[2][1] == "export function h(a) {\n  return { a };\n}" and got[3][1] == "const k = async (z) => {\n  await z;\n}"
+    py = "class A:\n    def f(self):\n        '''Doc\n no margin'''\n        x = 1\n\n        return x\n\n    # next\n    async def g(self): return (1,\n  2)\ny = 1\n"
+    got = code(".py", py)
+    assert got[0][1] == py[py.index("    def f") : py.index("return x") + 8] and got[1][1] == "    async def g(self): return (1,\n  2)".split("\n")[0] + "\n  2)"
+    deep = "function f(a) { return " + "(" * 3000 + "{" * 3000 + "}" * 3000 + ")" * 3000 + "; }\n"
+    assert [f["name"] for f in docs.functions(".js", deep)] == ["f"] and docs.functions(".js", "function f(" + "(" * 3000)[:1] == []
+
+
 @pytest.mark.parametrize(
     "doc,name,params,want",
     [
@@ -373,7 +391,7 @@ HINTED = [
 @pytest.mark.parametrize("path,line", FOUND + PLAIN + CLEAN + HINTED)
 def test_hints_lose_nothing(monkeypatch, path, line):
     with_hint = secrets.search(line, path)
-    monkeypatch.setattr(secrets, "hint", lambda text: True)
+    monkeypatch.setattr(secrets, "hint", lambda *_, **__: True)
     assert with_hint == secrets.search(line, path)
     assert with_hint[0] or (path, line) not in HINTED
 
