@@ -1,12 +1,16 @@
 """Problem 4: the k most similar vectors of every vector, by a hierarchical k-means tree.
 
-The upper tree is fitted on a bounded sample (SAMPLE vectors, however many there are) and cuts the space into cells of
-about CELL vectors; every vector is stored in one cell. A query visits its own cell and each further cell whose centre
-is almost as similar to it, in best-bin-first order. How far "almost" reaches is calibrated: the true neighbours of
-PROBED query vectors are found by one exact pass over all vectors, and the margin is widened until their cells are
-reached for RECALL of them. Visitors of a cell are candidates there as well, so a pair is met when either of the two
-visits the other. Inside a cell the vectors are divided by a tree again, and the number of leaves that a query visits
-there grows until exact search in that cell confirms the recall.
+The upper levels of the tree are fitted on a bounded sample (SAMPLE vectors, however many there are) and cut the space
+into at most MOST_CELLS cells; a cell that holds more than two times CELL vectors is divided once more by centres fitted
+where its vectors are, on a bounded sample of each such cell (SPLIT_SAMPLE), into at most SPLIT cells. The centres of all
+levels (at most MOST_CELLS x SPLIT) are one tree that every task has. Every vector is stored in one cell. A query visits
+its own cell and each further cell whose centre is almost as similar to it, in best-bin-first order. How far "almost"
+reaches, and how many cells a query may visit, is calibrated: the true neighbours of PROBED query vectors are found by
+one exact pass over all vectors, and the margin is widened until their cells are reached for RECALL of them. Visitors of
+a cell are candidates there as well, so a pair is met when either of the two visits the other. Inside a cell the vectors
+are divided by a tree again, and the number of leaves that a query visits there grows until exact search in that cell
+confirms the recall. Visitors carry half precision: a pair met only by a visit has its similarity to about 1e-3, pairs of
+one cell in double precision.
 
 Exact copies of one vector, of which there may be any number, count as HOT + 1 index rows at most: with k + 1 smallest
 ids of a vector in the index, further copies cannot enter any list, and their own lists are read off their class.
@@ -30,6 +34,8 @@ from codeloom.tables import cut
 
 #: Bounds of what is fitted or calibrated on the driver, and the intended size of a cell and of a leaf.
 SAMPLE, PROBED, CELL, LEAF, BRANCH, LEAST_CELLS, MOST_CELLS = 32_768, 256, 9_000, 160, 64, 24, 4_096
+#: Vectors of which the centres of one overfull cell are fitted, and cells that it is divided into at most.
+SPLIT_SAMPLE, SPLIT = 2_048, 64
 #: Recall to which the margin between cells and the visits within a cell are widened.
 RECALL = 0.955
 #: More equal copies than this of one vector are taken out of the index and answered from their class.
@@ -81,6 +87,18 @@ class Tree:
             self.inner[me][1][i] = self._grow(x[near == i])
         return me
 
+    def divide(self, leaf: int, centres: np.ndarray) -> None:
+        """Put an inner node with these centres in the place of a leaf; its first child keeps the leaf's number."""
+        children = np.array([-leaf - 1, *(-self.leaves - 1 - i for i in range(len(centres) - 1))], dtype=np.int64)
+        self.leaves += len(centres) - 1
+        node = len(self.inner)
+        if self.root == -leaf - 1:
+            self.root = node
+        else:
+            for _, kids in self.inner:
+                kids[kids == -leaf - 1] = node
+        self.inner.append((centres.astype(np.float32), children))
+
     def visit(self, q: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray]:
         """Leaves of each query in best-bin-first order, -1 where there are no more, and their similarities.
 
@@ -267,17 +285,17 @@ def neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, id_: str = "id", n
 
     if total == 0:
         return spark.createDataFrame([], "id string, neighbour string, similarity double, rank int")
-    tree, margin, pieces = fitted(current, total, k, dim)
-    shared = spark.sparkContext.broadcast((tree, margin, pieces))
+    tree, margin, visits, pieces = fitted(current, total, k, dim)
+    shared = spark.sparkContext.broadcast((tree, margin, visits, pieces))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, margin, pieces = shared.value
+        tree, margin, visits, pieces = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, vecs = batch.column("id"), batch.column("vector")
             x = unit(matrix(vecs, dim))
-            leaves, scores = tree.visit(x, 16)
+            leaves, scores = tree.visit(x, visits)
             near = (leaves >= 0) & (scores >= scores[:, :1] - margin)
             near[:, 0] = True
             row, slot = np.nonzero(near)
@@ -335,7 +353,7 @@ def neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, id_: str = "id", n
 
     placed = current.select("id", "h", "vector").mapInArrow(place, "cell int, is_member boolean, id binary, vector binary")
     partial = placed.groupBy("cell").applyInArrow(answer, "id binary, entries array<binary>")
-    # the lists of a query, from at most 16 cells and their pieces, are merged: entries sort by distance, then by id;
+    # the lists of a query, from the cells that it visits, are merged: entries sort by distance, then by id;
     # of a neighbour met in several cells the nearest entry stays
     distance = F.conv(F.hex(F.substring("e", 1, 6)), 16, 10).cast("double") / 1e12
     name = lambda e: F.substring(e, 7, 1 << 30)
@@ -350,16 +368,54 @@ def neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, id_: str = "id", n
     return found.unionByName(extra) if extra is not None else found
 
 
-def fitted(current: DataFrame, total: int, k: int, dim: int) -> tuple[Tree, float, np.ndarray]:
-    """The upper tree, the calibrated margin between cells, and the number of pieces of each cell."""
+def divided(current: DataFrame, tree: Tree, sizes: np.ndarray, dim: int) -> None:
+    """Divide each cell of the tree whose expected size is more than two times CELL, by centres fitted on some of its vectors."""
+    large = np.flatnonzero(sizes > 2 * CELL)
+    if not len(large):
+        return
+    want = np.zeros(tree.leaves, dtype=np.int64)
+    want[large] = np.clip(np.ceil(sizes[large] / CELL), 2, SPLIT).astype(np.int64)
+    shared = current.sparkSession.sparkContext.broadcast((tree, want, np.minimum(1.0, SPLIT_SAMPLE / np.maximum(sizes, 1))))
+
+    def some_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, want, share = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = tree.visit(unit(matrix(batch.column("vector"), dim)), 1)[0][:, 0]
+            # by the vector's own hash, so that a task that runs again picks the same ones
+            drawn = (np.asarray(batch.column("h"), dtype=np.int64).astype(np.uint64) % np.uint64(1 << 32)).astype(np.float64) / (1 << 32)
+            pick = np.flatnonzero((want[cell] > 0) & (drawn < share[cell]))
+            yield pa.RecordBatch.from_arrays([pa.array(cell[pick], pa.int32()), batch.column("vector").take(pa.array(pick))], ["cell", "vector"])
+
+    def fit(table: pa.Table) -> pa.Table:
+        cell = table.column("cell")[0].as_py()
+        x = unit(matrix(table.column("vector"), dim))
+        centres = centres_of(x[np.lexsort(x.T[:4])], min(int(shared.value[1][cell]), len(x)))
+        centres = centres[np.linalg.norm(centres, axis=1) > 0.5]
+        return pa.table({"cell": pa.array([cell], pa.int32()), "centres": pa.array([centres.astype(np.float32).tobytes()], pa.binary())})
+
+    found = current.select("h", "vector").mapInArrow(some_of, "cell int, vector array<float>").groupBy("cell").applyInArrow(fit, "cell int, centres binary")
+    for row in sorted(found.collect(), key=lambda r: r["cell"]):  # at most MOST_CELLS rows of SPLIT centres
+        centres = np.frombuffer(row["centres"], dtype=np.float32).reshape(-1, dim)
+        if len(centres) > 1:
+            tree.divide(row["cell"], centres)
+
+
+def fitted(current: DataFrame, total: int, k: int, dim: int) -> tuple[Tree, float, int, np.ndarray]:
+    """The tree over cells, the calibrated margin between cells and number of visits, and the number of pieces of each cell.
+
+    A cell is laid in pieces only where it holds too much even after it was divided, as nearly equal vectors do.
+    """
     some = np.asarray(current.sample(min(1.0, SAMPLE / total), seed=11).select("vector").limit(2 * SAMPLE).toPandas()["vector"].tolist(), dtype=np.float32)
     if not len(some):
         some = np.asarray(current.select("vector").limit(SAMPLE).toPandas()["vector"].tolist(), dtype=np.float32)
     some = unit(some.reshape(-1, dim))
     cells = min(MOST_CELLS, max(LEAST_CELLS, -(-total // CELL)), max(1, len(some) // 8))
     tree = Tree(some, -(-2 * len(some) // cells), fit=SAMPLE)
-    share = np.bincount(tree.visit(some, 1)[0][:, 0], minlength=tree.leaves) / len(some)
-    pieces = np.maximum(1, np.ceil(share * total / (4 * CELL))).astype(np.int64)
+    expected = lambda: np.bincount(tree.visit(some, 1)[0][:, 0], minlength=tree.leaves) / len(some) * total
+    divided(current, tree, expected(), dim)
+    pieces = np.maximum(1, np.ceil(expected() / (4 * CELL))).astype(np.int64)
     asked = some[:: max(1, len(some) // PROBED)][:PROBED]
     shared = current.sparkSession.sparkContext.broadcast(asked)
 
@@ -384,13 +440,16 @@ def fitted(current: DataFrame, total: int, k: int, dim: int) -> tuple[Tree, floa
     by = Window.partitionBy("q").orderBy(F.desc("s"))
     true = lists.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1).select("q", "vector").toPandas()
     home = tree.visit(np.asarray(true["vector"].tolist(), dtype=np.float32).reshape(-1, dim), 1)[0][:, 0]
-    leaves, scores = tree.visit(asked, 16)
-    need = []
+    leaves, scores = tree.visit(asked, tree.leaves)
+    need, rank = [], []
     for q, cell in zip(true["q"], home):
         hit = np.flatnonzero(leaves[q] == cell)
-        need.append(scores[q, 0] - scores[q, hit[0]] if len(hit) else 2.0)
+        need.append(scores[q, 0] - scores[q, hit[0]])
+        rank.append(int(hit[0]) + 1)
     margin = float(np.quantile(need, RECALL)) if need else 0.0
-    return tree, margin, pieces
+    # as many visits as the cells within the margin that the probed queries' neighbours lie in ask for
+    visits = max([r for r, n in zip(rank, need) if n <= margin], default=1)
+    return tree, margin, visits, pieces
 
 
 def neighbour_pairs(vectors: DataFrame, k: int = 5, dim: int = 64) -> DataFrame:

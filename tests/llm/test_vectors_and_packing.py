@@ -42,6 +42,26 @@ def test_recall_on_clusters(spark, monkeypatch, shrink):
     assert len(got & want) >= 0.93 * len(want) and len(got & want) >= 0.9 * len(got)
 
 
+def test_overfull_cells_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST_CELLS", 4)
+    monkeypatch.setattr(neighbours, "CELL", 60)
+    monkeypatch.setattr(neighbours, "SPLIT_SAMPLE", 200)
+    trees = []
+    fitted = neighbours.fitted
+    monkeypatch.setattr(neighbours, "fitted", lambda *a: trees.append(fitted(*a)) or trees[-1])
+    rng = np.random.default_rng(5)
+    # a third of all vectors lies in one direction
+    x = rng.normal(size=(1500, 64)).astype(np.float32)
+    x[:500] = x[0] + 0.2 * x[:500]
+    ids = [f"{i:032x}" for i in range(len(x))]
+    got = {tuple(r) for r in neighbours.neighbour_pairs(table(spark, [(i, v.tolist(), "1", None) for i, v in zip(ids, x)])).collect()}
+    want = brute(ids, x.astype(np.float64), 5)
+    tree, _, visits, pieces = trees[0]
+    assert tree.leaves >= 15 and pieces.max() <= 2 and 1 <= visits <= tree.leaves
+    home = np.bincount(tree.visit(neighbours.unit(x), 1)[0][:, 0], minlength=tree.leaves)
+    assert home.max() <= 300 and len(got & want) >= 0.9 * len(want)
+
+
 def test_unusable_late_and_repeated_rows(spark):
     v = lambda *a: list(a) + [0.5] * (64 - len(a))
     rows = [
