@@ -391,8 +391,15 @@ def divided(current: DataFrame, tree: Tree, sizes: np.ndarray, dim: int) -> None
     def fit(table: pa.Table) -> pa.Table:
         cell = table.column("cell")[0].as_py()
         x = unit(matrix(table.column("vector"), dim))
-        centres = centres_of(x[np.lexsort(x.T[:4])], min(int(shared.value[1][cell]), len(x)))
-        centres = centres[np.linalg.norm(centres, axis=1) > 0.5]
+        # by the directions in which the vectors lie off their middle, all equally far from it: in a dense cell a centre in
+        # the middle would be nearest to every vector
+        x = x[np.lexsort(x.T[:4])]
+        off = x - x.mean(axis=0)
+        apart = np.linalg.norm(off, axis=1) > 1e-6
+        ways = centres_of(unit(off[apart]), min(int(shared.value[1][cell]), int(apart.sum()))) if apart.any() else off[:0]
+        ways = ways[np.linalg.norm(ways, axis=1) > 0.5]
+        reach = float((off @ ways.T).max(axis=1).mean()) if len(ways) else 0.0
+        centres = unit(x.mean(axis=0) + reach * ways) if len(ways) else ways
         return pa.table({"cell": pa.array([cell], pa.int32()), "centres": pa.array([centres.astype(np.float32).tobytes()], pa.binary())})
 
     found = current.select("h", "vector").mapInArrow(some_of, "cell int, vector array<float>").groupBy("cell").applyInArrow(fit, "cell int, centres binary")
