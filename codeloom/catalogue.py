@@ -15,7 +15,7 @@ from codeloom.sources import entities as e
 from codeloom.sources import snapshots
 from codeloom.streaming import events as ev
 from codeloom.streaming import ingest
-from codeloom.tables import current_files, latest, read
+from codeloom.tables import current_files, cut, latest, read
 
 FLAGSHIP = "dead_functions"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -302,7 +302,7 @@ def node_counts(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def rel_counts(s: SparkSession, d: str) -> DataFrame:
-    sites = e.call_sites(s, d)
+    sites = cut(e.call_sites(s, d))  # read off the texts once
     found = resolve.resolve(sites, e.functions(s, d))
     tables = {"CONTAINS": e.contains(s, d), "RESOLVES_TO": found, "CALLS": resolve.calls(sites, found), "INHERITS_FROM": e.inherits(s, d), "IMPORTS": e.import_sites(s, d)}
     return _counted(tables, "rel_type")
@@ -761,8 +761,7 @@ def stream_files(s: SparkSession, d: str) -> DataFrame:
 
     from codeloom.tables import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(s)
-    folder = f"{s.sparkContext._jsc.sc().getCheckpointDir().get()}/index-{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(s)}/index-{uuid.uuid4().hex}"
     index = ingest.Index(s, folder)
     index.run(_feed(s, d, "source_files").select("id", "commit", "last_updated"))
     return index.read().select("id", "commit")

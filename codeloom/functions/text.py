@@ -102,27 +102,28 @@ def loc(path: Column, text: Column) -> Column:
     opening = F.when(slash, "/*").when(ext == ".rb", "=begin").otherwise('"""')
     closing = F.when(slash, "*/").when(ext == ".rb", "=end").otherwise('"""')
     rows = F.split(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\n$", ""), "\n")
+    # each line once as a number of flags: 1 blank, 2 begins with a mark, 4 has an opening, 8 has a closing
+    flag = lambda c, n: F.when(c, n).otherwise(0)
+    trimmed = F.transform(rows, lambda raw: F.regexp_replace(raw, r"^\s+|\s+$", ""))
+    flags = F.transform(trimmed, lambda x: flag(x == "", 1) + flag(x.startswith(mark), 2) + flag(x.contains(opening), 4) + flag(x.contains(closing), 8))
     zero = F.lit(0).cast("bigint")
-    start = F.struct(zero.alias("code"), zero.alias("comment"), zero.alias("blank"), zero.alias("total"), F.lit(False).alias("inside"))
-
-    def step(s: Column, raw: Column) -> Column:
-        line = F.trim(F.regexp_replace(raw, r"^\s+|\s+$", ""))
-        blank = line == ""
-        opens = ~s["inside"] & ~line.startswith(mark) & line.contains(opening)
-        comment = ~blank & (s["inside"] | line.startswith(mark) | opens)
-        inside = F.when(blank, s["inside"]).when(s["inside"], ~line.contains(closing)).when(opens, ~line.contains(closing)).otherwise(False)
+    start = F.struct(zero.alias("comment"), zero.alias("blank"), F.lit(False).alias("inside"))
+
+    def step(s: Column, f: Column) -> Column:
+        blank, marked, ends = f.bitwiseAND(1) > 0, f.bitwiseAND(2) > 0, f.bitwiseAND(8) > 0
+        opens = ~s["inside"] & ~marked & (f.bitwiseAND(4) > 0)
+        comment = ~blank & (s["inside"] | marked | opens)
+        inside = F.when(blank, s["inside"]).when(s["inside"] | opens, ~ends).otherwise(False)
         one = lambda c: F.when(c, 1).otherwise(0).cast("bigint")
-        return F.struct(
-            (s["code"] + one(~blank & ~comment)).alias("code"),
-            (s["comment"] + one(comment)).alias("comment"),
-            (s["blank"] + one(blank)).alias("blank"),
-            (s["total"] + 1).alias("total"),
-            inside.alias("inside"),
-        )
-
-    counted = F.aggregate(rows, start, step)
+        return F.struct((s["comment"] + one(comment)).alias("comment"), (s["blank"] + one(blank)).alias("blank"), inside.alias("inside"))
+
+    def shaped(s: Column) -> Column:
+        total = F.size(rows).cast("bigint")
+        return F.struct((total - s["comment"] - s["blank"]).alias("code"), s["comment"].alias("comment"), s["blank"].alias("blank"), total.alias("total"))
+
+    counted = F.aggregate(flags, start, step, shaped)
     empty = F.struct(*[zero.alias(n) for n in ("code", "comment", "blank", "total")])
-    return F.when(text == "", empty).when(text.isNotNull(), F.struct(*[counted[n].alias(n) for n in ("code", "comment", "blank", "total")]))
+    return F.when(text == "", empty).when(text.isNotNull(), counted)
 
 
 def cast_filter_value(text: str):

@@ -25,7 +25,7 @@ def _walk(file: str, content: str) -> list[tuple]:
             warnings.simplefilter("ignore")
             root = ast.parse(content.removeprefix("﻿"))
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        return [(file, 0, None, 0, 0, "error", str(e)[:200], None, None)]
+        return [(file, 0, None, 0, 0, "error", str(e), None, None)]
     rows: list[tuple] = []
     stack: list[tuple[ast.AST, int | None, int, int]] = [(root, None, 0, 0)]
     while stack:
@@ -33,7 +33,7 @@ def _walk(file: str, content: str) -> list[tuple]:
         me = len(rows)
         text = next((v for n in _TEXT if isinstance(v := getattr(node, n, None), str)), None)
         if isinstance(node, ast.Constant) and isinstance(node.value, str):
-            text = node.value[:1000]
+            text = node.value
         rows.append((file, me, parent, ordinal, depth, type(node).__name__, text, getattr(node, "lineno", None), getattr(node, "end_lineno", None)))
         children = [c for c in ast.iter_child_nodes(node) if not isinstance(c, (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop))]
         stack += [(c, me, i, depth + 1) for i, c in reversed(list(enumerate(children)))]

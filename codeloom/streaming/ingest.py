@@ -30,11 +30,25 @@ def apply_batch(state: DataFrame, batch: DataFrame, key: str = "id", newest: str
 
 
 class Index:
-    """A table kept by upserts in numbered versions below a folder; a micro-batch that comes twice is applied once."""
+    """A table kept by upserts, one complete folder per micro-batch; a batch that comes twice is applied once.
+
+    What is there is read off the folder, so a driver that starts again goes on where the last one stopped.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, key: str = "id", newest: str = "last_updated", deleted: str | None = None):
         self.spark, self.folder, self.key, self.newest, self.deleted = spark, folder.rstrip("/"), key, newest, deleted
-        self.version: int | None = None
+        self.version = self._newest()
+
+    def _newest(self) -> int | None:
+        """The greatest version that was written to its end."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return None
+        names = [f.getPath().getName() for f in fs.listStatus(root)]
+        whole = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))]
+        return max(whole, default=None)
 
     def _path(self, version: int) -> str:
         return f"{self.folder}/v{version}"

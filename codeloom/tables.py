@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,13 +14,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the shared folder that the cluster names; a folder of our own only where none is set (tests)."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names. A folder of our own only where all runs in one process (tests)."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="codeloom-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -31,16 +36,23 @@ def cut(df: DataFrame) -> DataFrame:
 def latest(df: DataFrame, keys: list[str], newest: str) -> DataFrame:
     """One row per key: the row with the greatest `newest` (nulls lose; equal times: the greatest whole row).
 
-    Hash aggregation over one struct, so copies shrink before the shuffle; rows with a null key form one group.
+    Aggregation over one struct, so copies shrink before the shuffle; rows with a null key form one group. Columns that
+    have no order (maps, also inside others) are compared by their entries.
     """
     rest = [c for c in df.columns if c not in keys and c != newest]
-    orderable = [c for c in rest if not df.schema[c].dataType.simpleString().startswith("map")]
-    packed = F.struct(F.col(newest), *[F.col(c) for c in orderable])
+    unordered = [c for c in rest if "map<" in df.schema[c].dataType.simpleString()]
+
+    def entries(c: str) -> Column:
+        plain = df.schema[c].dataType.simpleString().startswith("map")
+        return F.to_json(F.array_sort(F.map_entries(c)) if plain else F.col(c))
+
+    packed = F.struct(F.col(newest), *[F.col(c) for c in rest if c not in unordered], *[entries(c).alias(c) for c in unordered])
+    kept = F.max_by(F.struct(*unordered), packed) if unordered else F.lit(None)
     return (
         df.groupBy(*keys)
-        .agg(F.max(packed).alias("_row"))
-        .select(*keys, *[F.col("_row")[c].alias(c) for c in [newest, *orderable]])
-        .select(*[c for c in df.columns if c in {*keys, newest, *orderable}])
+        .agg(F.max(packed).alias("_row"), kept.alias("_kept"))
+        .select(*keys, *[F.col("_kept" if c in unordered else "_row")[c].alias(c) for c in [newest, *rest]])
+        .select(*df.columns)
     )
 
 

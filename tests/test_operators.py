@@ -332,3 +332,36 @@ def test_event_statistics(spark):
     got = events.statistics(e).collect()[0]
     assert got.entity_count == 4 and got.file_count == 1 and got.files_per_second == 0.05
     assert events.statistics(e.limit(0)).collect()[0].file_count == 0
+
+
+# --- state that outlives a driver -------------------------------------------------------------------------------------
+
+
+def test_an_index_goes_on_after_a_restart(spark, tmp_path):
+    from codeloom.streaming.ingest import Index
+
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, last_updated int, note string")
+    folder = str(tmp_path / "index")
+    Index(spark, folder).upsert(rows(("a", 1, "x"), ("b", 1, "y")), 0)
+    again = Index(spark, folder)
+    assert again.version == 0
+    again.upsert(rows(("a", 1, "lost"), ("z", 9, "lost")), 0)  # the batch that was applied before
+    again.upsert(rows(("b", 2, "z"), ("c", 1, "w")), 1)
+    (tmp_path / "index" / "v7").mkdir()  # a version that was not written to its end
+    assert sorted(tuple(r) for r in Index(spark, folder).read().collect()) == [("a", 1, "x"), ("b", 2, "z"), ("c", 1, "w")]
+
+
+def test_latest_keeps_maps(spark):
+    from codeloom.tables import latest
+
+    df = spark.createDataFrame([("a", 1, {"x": "1"}, "p"), ("a", 2, {"y": "2"}, "q"), ("a", 2, {"y": "2"}, "q"), ("b", None, None, None), (None, 1, {}, "r")], "id string, t int, extra map<string,string>, note string")
+    got = {r.id: (r.t, r.extra, r.note) for r in latest(df, ["id"], "t").collect()}
+    assert got == {"a": (2, {"y": "2"}, "q"), "b": (None, None, None), None: (1, {}, "r")}
+    assert latest(df, ["id"], "t").columns == df.columns
+
+
+def test_constants_stay_whole(spark):
+    from codeloom.operators import syntax_tree
+
+    df = spark.createDataFrame([("f", "x = '" + "y" * 5000 + "'\n")], "file_id string, content string")
+    assert syntax_tree.python_nodes(df).where("type = 'Constant'").collect()[0].text == "y" * 5000
