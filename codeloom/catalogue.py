@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom import oracle
+from codeloom import oracle, oracle_lookups
 from codeloom.functions import ids, text
 from codeloom.operators import analysis, chunking, embed, graph, resolve, search, syntax_tree, vectors
 from codeloom.plans.api import CodeIndex
@@ -32,7 +32,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    known = oracle.queries()
+    known = oracle.queries() | oracle_lookups.queries()
     return {n: known[n] for n in _QUERIES if n in known}
 
 
@@ -784,3 +784,6 @@ def id_rules(s: SparkSession, d: str) -> DataFrame:
     """Files whose id follows from repository and path, and those whose doesn't."""
     right = F.col("id") == ids.file_id(F.col("repository"), F.col("path"))
     return e.files(s, d).groupBy(right.alias("right")).agg(F.count(F.lit(1)).alias("n"))
+
+
+from codeloom import lookups  # noqa: E402, F401  registers more queries

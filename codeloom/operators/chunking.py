@@ -138,3 +138,45 @@ def for_embedding(content: Column, language: Column, path: Column, kind: Column)
         F.lit("LANGUAGE: "), F.coalesce(language, F.lit("unknown")), F.lit("\nFILE: "), F.coalesce(path, F.lit("")), F.lit("\nTYPE: "), label, F.lit("\n"),
         F.coalesce(name, F.lit("")), F.lit("\n"), F.coalesce(content, F.lit("")),
     )
+
+
+def file_chunks(files: DataFrame) -> DataFrame:
+    """(file_id, pos, kind, start_line, end_line, content): class and function chunks of each file by their first lines,
+    classes before functions that begin on the same line; sliding windows for files that have neither.
+
+    files: file_id, path, content, one row per file; null and empty texts have none. pos counts from 0.
+    """
+    cut_up = split(files, "class").withColumn("kind", F.lit("class")).unionByName(split(files, "function").withColumn("kind", F.lit("function")))
+    rest = files.where("content <> ''").join(cut_up.select("file_id").distinct(), "file_id", "left_anti")
+    both = cut_up.unionByName(window_chunks(rest).withColumn("kind", F.lit("code_segment")))
+    order = Window.partitionBy("file_id").orderBy("start_line", "kind", "end_line")
+    return both.select("file_id", (F.row_number().over(order) - 1).alias("pos"), "kind", "start_line", "end_line", "content")
+
+
+def dispatched(files: DataFrame, entities: DataFrame) -> DataFrame:
+    """(file_id, kind, start_line, end_line, content): header and entity chunks of the files that have entities and a
+    language with structure (.py, .js, .java), windows for all others. One row per file in `files`."""
+    known = text.extension(F.col("path")).isin(".py", ".js", ".java")
+    src = files.where("content <> ''").select("file_id", "content", known.alias("known"))
+    whole = src.where("known").join(entities.where("start_line > 0").select("file_id").distinct(), "file_id", "left_semi").select("file_id", "content")
+    rest = src.join(whole.select("file_id"), "file_id", "left_anti")
+    cols = ["file_id", "kind", "start_line", "end_line", "content"]
+    return (
+        header_chunks(whole, entities).withColumn("kind", F.lit("header")).select(cols)
+        .unionByName(entity_chunks(whole, entities, "entity").withColumn("kind", F.lit("entity")).select(cols))
+        .unionByName(window_chunks(rest).withColumn("kind", F.lit("window")).select(cols))
+    )
+
+
+# Fields that every stored vector has, and those that it has where they hold something.
+MANDATORY = ("file_path", "language", "entity_type", "entity_id", "start_line", "end_line", "chunk_id")
+OPTIONAL = ("repository", "branch", "commit_id")
+
+
+def metadata_text() -> Column:
+    """The metadata of a vector row as sorted name=value pairs: mandatory fields (empty where null), optional fields that hold
+    something, and the entries of extra."""
+    must = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in MANDATORY]
+    may = [F.when(F.col(c) != "", F.concat(F.lit(f"{c}="), F.col(c))) for c in OPTIONAL]
+    more = F.transform(F.map_entries("extra"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
+    return F.array_join(F.array_sort(F.concat(F.array_compact(F.array(*must, *may)), F.coalesce(more, F.array().cast("array<string>")))), "|")

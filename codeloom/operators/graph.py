@@ -84,6 +84,18 @@ def closure(edges: DataFrame, start: DataFrame | None = None, most: int | None =
     return found
 
 
+def paths(edges: DataFrame, most: int) -> DataFrame:
+    """(src, dst, length, path): every way over one to `most` edges that meets no node twice; path lists its nodes."""
+    steps = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct()
+    ahead = steps.select(F.col("src").alias("mid"), F.col("dst").alias("far"))
+    found = new = cut(steps.select("src", "dst", F.array("src", "dst").alias("path")))
+    for _ in range(most - 1):
+        longer = new.join(ahead, F.col("dst") == F.col("mid")).where(~F.array_contains("path", F.col("far")))
+        new = cut(longer.select("src", F.col("far").alias("dst"), F.array_append("path", F.col("far")).alias("path")))
+        found = found.unionByName(new)
+    return found.select("src", "dst", (F.size("path") - 1).cast("bigint").alias("length"), "path")
+
+
 def contained_in(files: DataFrame, contains: DataFrame) -> DataFrame:
     """Everything below the given files (column id), however deep: what deleting them takes along."""
     below = closure(contains, files).select(F.col("dst").alias("id"))

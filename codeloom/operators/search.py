@@ -70,6 +70,30 @@ def names_in(query: Column) -> Column:
     return F.array_distinct(looks)
 
 
+# Kinds of entities that a definition can be of.
+DEFINED = ("function", "class", "method", "module")
+
+
+def entities_in(query: Column) -> Column:
+    """struct(kind, names): the names in a query, by what its words ask for.
+
+    functions where it speaks of a function or method and has brackets, classes where it speaks of a class; null where
+    it speaks of neither.
+    """
+    said = F.split(F.trim(F.regexp_replace(F.lower(query), r"\s+", " ")), " ")
+    has = lambda w: F.array_contains(said, w)
+    about = has("function") | has("method")
+    kind = F.when(about, F.when(query.contains("(") | query.contains(")"), "functions")).when(has("class"), "classes")
+    return F.struct(kind.alias("kind"), F.when(kind.isNotNull(), names_in(query)).alias("names"))
+
+
+def filters_from(query: Column) -> Column:
+    """struct(language, entity_type): lists that a query's words narrow the search to, empty where they don't."""
+    none = F.array().cast("array<string>")
+    wanted = F.when(F.array_contains(intents(query), "definition"), F.array(*map(F.lit, DEFINED))).otherwise(none)
+    return F.struct(F.coalesce(languages(query), none).alias("language"), F.coalesce(wanted, none).alias("entity_type"))
+
+
 def flags(found: Column) -> Column:
     """struct(requires_code_execution, requires_structural_search, kind of graph search) from a list of intents."""
     has = lambda name: F.array_contains(found, name)
@@ -165,3 +189,42 @@ def answers(hits: DataFrame) -> DataFrame:
             ).alias("answer"),
         )
     )
+
+
+def answers_by_kind(asked: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, kind, results, entities, files, answer) of each question, also of those without hits.
+
+    asked: query_id, intents. hits: ranked() rows. The kind is the first intent of definition, usage, inheritance and
+    explanation, else general. Definitions, usages and inheritances speak of the graph's hits of that kind where there
+    are any, else of all. entities counts the types of the five best hits spoken of, most frequent first.
+    """
+    first = F.try_element_at("intents", F.lit(1))
+    kind = F.when(first.isin("definition", "usage", "inheritance", "explanation"), first).otherwise("general")
+    rows = asked.select("query_id", kind.alias("kind")).join(hits, "query_id", "left")
+    fits = F.coalesce(F.col("search_type") == F.col("kind"), F.lit(False))
+    some = rows.groupBy("query_id").agg(F.max(fits).alias("some"))
+    spoken = rows.join(some, "query_id").where(~F.col("some") | fits | ~F.col("kind").isin("definition", "usage", "inheritance"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("rank_score"), "file_path", "start_line", "end_line", "entity_id")
+    best = spoken.withColumn("r", F.row_number().over(order))
+    kinds = (
+        best.where("r <= 5 AND entity_type <> ''")
+        .groupBy("query_id", F.lower("entity_type").alias("t"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("query_id")
+        .agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "t"))).alias("l"))
+        .select("query_id", F.array_join(F.transform("l", lambda x: F.concat((-x["m"]).cast("string"), F.lit(" "), x["t"])), ", ").alias("entities"))
+    )
+    facts = best.groupBy("query_id", "kind").agg(
+        F.count("rank_score").alias("results"), F.count_distinct("file_path").alias("files"), F.max(F.when(F.col("r") == 1, F.col("entity_id"))).alias("best")
+    )
+    name, results, files = F.concat(F.lit("`"), F.coalesce("best", F.lit("")), F.lit("`")), F.col("results").cast("string"), F.col("files").cast("string")
+    listed = F.coalesce("entities", F.lit("no typed entities"))
+    told = (
+        F.when(F.col("results") == 0, F.lit("Nothing in the index answers this."))
+        .when(F.col("kind") == "definition", F.concat(name, F.lit(" is defined in one of "), files, F.lit(" files: "), listed, F.lit(".")))
+        .when(F.col("kind") == "usage", F.concat(name, F.lit(" is used "), results, F.lit(" times in "), files, F.lit(" files: "), listed, F.lit(".")))
+        .when(F.col("kind") == "inheritance", F.concat(name, F.lit(" has "), results, F.lit(" relatives in "), files, F.lit(" files: "), listed, F.lit(".")))
+        .when(F.col("kind") == "explanation", F.concat(F.lit("Read "), name, F.lit(" first, then the other "), (F.col("results") - 1).cast("string"), F.lit(" of "), listed, F.lit(".")))
+        .otherwise(F.concat(results, F.lit(" results in "), files, F.lit(" files: "), listed, F.lit(".")))
+    )
+    return facts.join(kinds, "query_id", "left").select("query_id", "kind", "results", F.coalesce("entities", F.lit("")).alias("entities"), "files", told.alias("answer"))

@@ -90,8 +90,11 @@ def contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def inherits_of(classes: DataFrame) -> DataFrame:
+    """(src, dst): class (id, name, parents) to each class that one of its parents names, in any repository; never itself."""
+    asked = classes.select(F.col("id").alias("src"), F.explode("parents").alias("name")).distinct()
+    return asked.join(classes.select(F.col("id").alias("dst"), "name"), "name").where("src <> dst").select("src", "dst").distinct()
+
+
 def inherits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst): class to each class that one of its parents names, in any repository; never itself."""
-    c = classes(spark, sf_dir)
-    asked = c.select(F.col("id").alias("src"), F.explode("parents").alias("name")).distinct()
-    return asked.join(c.select(F.col("id").alias("dst"), "name"), "name").where("src <> dst").select("src", "dst").distinct()
+    return inherits_of(classes(spark, sf_dir))
