@@ -11,6 +11,7 @@ from codeloom.functions import text
 from codeloom.operators import analysis, chunking, graph, search
 from codeloom.sources import entities as e
 from codeloom.sources import imports
+from codeloom.streaming import events as ev
 from codeloom.streaming import ingest
 from codeloom.tables import latest, read
 
@@ -186,6 +187,62 @@ def class_methods_calling(s: SparkSession, d: str) -> DataFrame:
     return e.call_sites(s, d).join(methods, "caller_function_id").groupBy("class_id", "call_name").agg(F.count_distinct("caller_function_id").alias("methods"))
 
 
+@query
+def classes_named_like(s: SparkSession, d: str) -> DataFrame:
+    """Methods of the classes whose name holds a word, in any case."""
+    some = e.classes(s, d).where(F.lower("name").contains("base") | F.lower("name").contains("er")).select(F.col("id").alias("class_id"), F.col("name").alias("class_name"))
+    return e.functions(s, d).join(some, "class_id").select("class_name", "name", "id", "start_line", "end_line")
+
+
+@query
+def dead_with_parent(s: SparkSession, d: str) -> DataFrame:
+    """Functions that nothing calls and whose name shows no privacy, with what contains them: class first, else file."""
+    dead = analysis.dead(e.functions(s, d), c._calls(s, d), exclude=["_.*"], entry_points=False)
+    within = e.classes(s, d).select(F.col("id").alias("class_id"), F.col("name").alias("class_name"))
+    paths = e.files(s, d).select(F.col("id").alias("file_id"), "path")
+    label = F.when(F.col("class_name").isNotNull(), "Class").when(F.col("path").isNotNull(), "File")
+    return dead.join(within, "class_id", "left").join(paths, "file_id", "left").select("id", "name", label.alias("parent_type"), F.coalesce("class_name", "path").alias("parent"))
+
+
+@query
+def class_rows(s: SparkSession, d: str) -> DataFrame:
+    """Classes beside each of their methods and each of the parents they name, as a drawing of them needs it."""
+    methods = e.functions(s, d).where("class_id IS NOT NULL").select(F.col("class_id").alias("id"), F.col("name").alias("method"))
+    return e.classes(s, d).select("id", "name", F.explode_outer("parents").alias("parent")).join(methods, "id", "left").select("id", "name", "parent", "method")
+
+
+@query
+def entities_in_order(s: SparkSession, d: str) -> DataFrame:
+    """The entities of each file by their first line, each with its position."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("file_id").orderBy("start_line", "end_line", "id")
+    return c._entities(s, d).where("start_line > 0").select("id", "file_id", "start_line", F.row_number().over(order).cast("bigint").alias("position"))
+
+
+@query
+def failed_files(s: SparkSession, d: str) -> DataFrame:
+    """The ten first of the files that a parser left an error on, by path; the count is that of all."""
+    rows = read(s, d, "ast_data").where("error IS NOT NULL").select("file_id", "file_path", "error").distinct()
+    n = rows.agg(F.count(F.lit(1)).alias("failed"))
+    return rows.orderBy("file_path", "file_id", "error").limit(10).join(n).select("file_id", "file_path", "failed")
+
+
+@query
+def placeholder_content(s: SparkSession, d: str) -> DataFrame:
+    """Hits with the text of their chunk in the place of a template: every vector's entity with the length of its code."""
+    text_of = e.chunks(s, d).select("chunk_id", F.length("content").cast("bigint").alias("length"), "content_type")
+    return read(s, d, "chunk_vectors").select("id", "chunk_id").distinct().join(text_of, "chunk_id", "left").select("id", "chunk_id", "length", "content_type")
+
+
+@query
+def event_data(s: SparkSession, d: str) -> DataFrame:
+    """Events as their constructors write them: kind, message and the fields that hold something, as a map."""
+    rows = ev.made(read(s, d, "events"))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("data")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
+    return rows.select("event_id", "kind", "message", shown.alias("data"))
+
+
 @query
 def commit_history(s: SparkSession, d: str) -> DataFrame:
     """Commits of each repository in the order in which they were first seen."""

@@ -157,6 +157,18 @@ def queries() -> dict[str, str]:
         ),
         "repositories_like": sql("SELECT repository, count(*) AS n FROM file WHERE repository LIKE '%mono%' OR repository LIKE '%stale%' GROUP BY 1"),
         "class_methods_calling": sql("SELECT d.class_id, s.call_name, count(DISTINCT s.caller_function_id) AS methods FROM site s JOIN func d ON d.id = s.caller_function_id WHERE d.class_id IS NOT NULL GROUP BY ALL"),
+        "classes_named_like": sql("SELECT c.name AS class_name, d.name, d.id, d.start_line, d.end_line FROM func d JOIN cls c ON c.id = d.class_id WHERE lower(c.name) LIKE '%base%' OR lower(c.name) LIKE '%er%'"),
+        "dead_with_parent": sql(
+            "SELECT d.id, d.name, CASE WHEN c.name IS NOT NULL THEN 'Class' WHEN f.path IS NOT NULL THEN 'File' END AS parent_type, coalesce(c.name, f.path) AS parent FROM func d LEFT JOIN cls c ON c.id = d.class_id LEFT JOIN file f ON f.id = d.file_id WHERE d.id NOT IN (SELECT callee FROM call) AND NOT starts_with(d.name, '_')"
+        ),
+        "class_rows": sql("SELECT c.id, c.name, c.parent, d.name AS method FROM (SELECT id, name, unnest(CASE WHEN parents IS NULL OR len(parents) = 0 THEN [NULL] ELSE parents END) AS parent FROM cls) c LEFT JOIN func d ON d.class_id = c.id"),
+        "entities_in_order": sql("SELECT id, file_id, start_line, row_number() OVER (PARTITION BY file_id ORDER BY start_line, end_line, id) AS position FROM (SELECT id, file_id, start_line, end_line FROM func UNION ALL SELECT id, file_id, start_line, end_line FROM cls) WHERE start_line > 0"),
+        "failed_files": "WITH r AS (SELECT DISTINCT file_id, file_path, error FROM ast_data WHERE error IS NOT NULL) SELECT file_id, file_path, (SELECT count(*) FROM r) AS failed FROM r ORDER BY file_path, file_id, error LIMIT 10",
+        "placeholder_content": sql("SELECT v.id, v.chunk_id, length(c.content) AS length, c.content_type FROM (SELECT DISTINCT id, chunk_id FROM chunk_vectors) v LEFT JOIN chunk c ON c.chunk_id = v.chunk_id"),
+        "event_data": sql(
+            """SELECT event_id, kind, CASE kind WHEN 'FILE_PROCESSED' THEN 'file processed' WHEN 'ENTITY_CREATED' THEN 'entity created' WHEN 'RELATIONSHIP_CREATED' THEN 'relationship created'
+            WHEN 'STAGE_STARTED' THEN 'stage started' WHEN 'ERROR' THEN 'error' ELSE 'custom event' END AS message, concat_ws(';', 'k=' || k, 'source=' || user_id, 'type=' || event_type) AS data FROM ev"""
+        ),
         "commit_history": """SELECT repository_url, "commit", files, row_number() OVER w AS position, lag("commit") OVER w AS before FROM (SELECT repository_url, "commit", min(last_updated) AS t, count(DISTINCT id) AS files FROM source_files GROUP BY ALL)
             WINDOW w AS (PARTITION BY repository_url ORDER BY t, "commit")""",
         "incremental_states": sql('SELECT id, "commit" FROM file'),

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import analysis, chunking, embed, resolve, search, vectors
 from codeloom.sources import entities as e
+from codeloom.sources import imports
+from codeloom.tables import current_files, cut
 
 
 class CodeIndex:
@@ -22,13 +24,16 @@ class CodeIndex:
     def __init__(self, spark: SparkSession, folder: str, embedder: str = "hashing", dim: int = 64):
         self.spark, self.folder, self.embedder, self.dim = spark, folder, embedder, dim
 
-    def tables(self) -> dict[str, DataFrame]:
-        """Nodes and edges by name; only what a query uses is computed."""
+    def tables(self, once: bool = False) -> dict[str, DataFrame]:
+        """Nodes and edges by name; only what a query uses is computed. once: call sites and what they mean are written
+        and read again, for plans that use them several times."""
         s, d = self.spark, self.folder
         sites, functions = e.call_sites(s, d), e.functions(s, d)
+        sites = cut(sites) if once else sites
         found = resolve.resolve(sites, functions)
+        found = cut(found) if once else found
         return {
-            "file": e.files(s, d), "class": e.classes(s, d), "function": functions, "call_site": sites, "import_site": e.import_sites(s, d), "chunk": e.chunks(s, d),
+            "file": e.files(s, d), "class": e.classes(s, d), "function": functions, "call_site": sites, "import_site": e.import_sites(s, d), "import": imports.imported_names(current_files(s, d)), "chunk": e.chunks(s, d),
             "contains": e.contains(s, d), "inherits_from": e.inherits(s, d), "resolves_to": found, "calls": resolve.calls(sites, found),
         }
 
@@ -95,7 +100,7 @@ class CodeIndex:
 
     def report(self) -> DataFrame:
         """(section, key, value): counts of nodes and edges, degrees, resolution, dead code, languages."""
-        t = self.tables()
+        t = self.tables(once=True)
         total = lambda rows, section, key: rows.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(section).alias("section"), F.lit(key).alias("key"), "value")
         parts = [total(t[n], "nodes", n) for n in ("file", "class", "function", "call_site", "import_site")]
         parts += [total(t[n], "edges", n) for n in ("contains", "inherits_from", "resolves_to", "calls")]

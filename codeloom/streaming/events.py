@@ -36,13 +36,41 @@ def statistics(events: DataFrame) -> DataFrame:
     )
 
 
+# What the message of each kind of event says of it.
+MESSAGES = {
+    "FILE_PROCESSED": "file processed", "ENTITY_CREATED": "entity created", "RELATIONSHIP_CREATED": "relationship created", "STAGE_STARTED": "stage started", "STAGE_COMPLETED": "stage completed",
+    "PROGRESS": "progress", "ERROR": "error", "WARNING": "warning", "CUSTOM": "custom event",
+}
+
+
+def made(events: DataFrame) -> DataFrame:
+    """(event_id, ts, kind, message, data) of raw events (event_id, ts, user_id, event_type, value, props): data is a map of the
+    fields that are not null, those of the JSON text in props over the event's own."""
+    own = F.map_filter(F.create_map(F.lit("source"), F.col("user_id").cast("string"), F.lit("type"), F.col("event_type")), lambda k, v: v.isNotNull())
+    given = F.coalesce(F.from_json("props", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(own, lambda k, v: ~F.map_contains_key(given, k))
+    data = F.map_filter(F.map_concat(kept, given), lambda k, v: v.isNotNull())
+    kind = kind_of(F.col("event_type"))
+    names = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
+    return events.select("event_id", "ts", kind.alias("kind"), F.try_element_at(names, kind).alias("message"), data.alias("data"))
+
+
 def stage_durations(events: DataFrame, start: str, end: str) -> DataFrame:
-    """(source, started, ended, seconds): each end with the last start of its source before it."""
-    before = Window.partitionBy("source").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = events.where(F.col("kind").isin(start, end)).withColumn("started", F.last(F.when(F.col("kind") == start, F.col("ts")), ignorenulls=True).over(before))
-    return marked.where((F.col("kind") == end) & F.col("started").isNotNull()).select(
-        "event_id", "source", "started", F.col("ts").alias("ended"), F.round((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))) / 1e6, 6).alias("seconds")
-    )
+    """(event_id, source, started, ended, seconds): each end with the last start of its source before it.
+
+    Events are ordered by source and day only; from day to day the last start is carried over one row per source and day,
+    so no source is one group. Events without a time are left out.
+    """
+    day = F.to_date("ts")
+    marked = events.where(F.col("kind").isin(start, end) & F.col("ts").isNotNull()).withColumn("day", day).withColumn("begun", F.when(F.col("kind") == start, F.col("ts")))
+    days = marked.groupBy("source", "day").agg(F.max("begun").alias("last"))
+    earlier = Window.partitionBy("source").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select(F.col("source").alias("s"), F.col("day").alias("d"), F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    before = Window.partitionBy("source", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = marked.withColumn("here", F.last("begun", ignorenulls=True).over(before)).where(F.col("kind") == end)
+    found = here.join(carried, F.col("source").eqNullSafe(F.col("s")) & (F.col("day") == F.col("d")), "left").withColumn("started", F.coalesce("here", "carried"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return found.where("started IS NOT NULL").select("event_id", "source", "started", F.col("ts").alias("ended"), F.round((micros("ts") - micros("started")) / 1e6, 6).alias("seconds"))
 
 
 def windowed(events: DataFrame, length: str, slide: str | None = None, late: str | None = None) -> DataFrame:
