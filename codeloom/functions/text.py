@@ -101,7 +101,7 @@ def loc(path: Column, text: Column) -> Column:
     mark = F.when(slash, "//").otherwise("#")
     opening = F.when(slash, "/*").when(ext == ".rb", "=begin").otherwise('"""')
     closing = F.when(slash, "*/").when(ext == ".rb", "=end").otherwise('"""')
-    rows = F.split(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\n$", ""), "\n")
+    rows = F.split(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"\n\z", ""), "\n")
     # each line once as a number of flags: 1 blank, 2 begins with a mark, 4 has an opening, 8 has a closing
     flag = lambda c, n: F.when(c, n).otherwise(0)
     trimmed = F.transform(rows, lambda raw: F.regexp_replace(raw, r"^\s+|\s+$", ""))

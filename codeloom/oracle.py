@@ -12,21 +12,21 @@ CTE = {
         FROM (SELECT DISTINCT id, name, file_id, class_id, repository, start_line, end_line, is_method FROM function_defs) d LEFT JOIN file f ON f.id = d.file_id""",
     "cls": "SELECT DISTINCT id, name, file_id, repository, start_line, end_line, parents FROM class_defs",
     "chunk": "SELECT DISTINCT * FROM chunks",
-    "hit": r"""SELECT file_id, entity_id, start_line + i - 1 AS line, unnest(regexp_extract_all(l, '(\.?[A-Za-z_][A-Za-z0-9_]*)\(', 1)) AS h FROM (
-        SELECT file_id, entity_id, start_line, unnest(string_split(content, chr(10))) AS l, generate_subscripts(string_split(content, chr(10)), 1) AS i
-        FROM chunk WHERE content_type = 'function') WHERE i > 1""",
-    "site": r"""SELECT md5(s.file_id || ':' || call_name || ':' || line) AS id, call_name, dotted AS is_attribute_call, file_id AS caller_file_id,
-        caller_function_id, f.repository, line AS start_line FROM (
-        SELECT file_id, ltrim(h, '.') AS call_name, line, min(entity_id) AS caller_function_id, bool_or(starts_with(h, '.')) AS dotted FROM hit
+    "owner": r"""SELECT file_id, line, arg_min(id, (end_line - start_line, id)) AS fn FROM (SELECT file_id, id, start_line, end_line, unnest(range(start_line, end_line + 1)) AS line FROM func WHERE start_line > 0 AND end_line >= start_line) GROUP BY ALL""",
+    "hit": r"""SELECT file_id, repository, i AS line, unnest(regexp_extract_all(regexp_replace(CASE WHEN py THEN regexp_replace(l, '"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*''|#.*$', '', 'g')
+        ELSE regexp_replace(l, '"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*''|`(?:[^`\\]|\\.)*`|//.*$|/\*.*?\*/|^\s*(?:/?\*.*)$', '', 'g') END,
+        '\b(?:def|class|function)\b\s*\*?\s*[A-Za-z_$][A-Za-z0-9_$]*\s*\(', '(', 'g'), '(\.?[A-Za-z_][A-Za-z0-9_]*)(?:<[A-Za-z0-9_, .?]*>)?\(', 1)) AS h FROM (
+        SELECT file_id, repository, py, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM (
+        SELECT file_id, repository, ends_with(lower(path), '.py') AS py, CASE WHEN ends_with(lower(path), '.py') THEN array_to_string(list_transform(string_split_regex(n, '"{3}|''{3}'),
+        lambda x, k: CASE WHEN k % 2 = 0 THEN regexp_replace(x, '[^\n]', '', 'g') ELSE x END), '""') ELSE n END AS t FROM (
+        SELECT *, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS n FROM src WHERE content IS NOT NULL AND regexp_matches(lower(path), '\.(py|js|jsx|ts|tsx|java)$'))))
+        WHERE contains(l, '(')""",
+    "site": r"""SELECT md5(s.file_id || ':' || call_name || ':' || s.line) AS id, call_name, dotted AS is_attribute_call, s.file_id AS caller_file_id, o.fn AS caller_function_id, s.repository, s.line AS start_line FROM (
+        SELECT file_id, repository, ltrim(h, '.') AS call_name, line, bool_or(starts_with(h, '.')) AS dotted FROM hit
         WHERE ltrim(h, '.') NOT IN ('if','for','while','switch','catch','return','function','def','class','and','or','not','in','elif','assert','lambda',
-        'await','super','synchronized','with','except','print') GROUP BY ALL) s JOIN file f ON f.id = s.file_id""",
-    "imp": r"""SELECT DISTINCT file_id, repository, coalesce(nullif(py, ''), nullif(js, ''), nullif(pl, '')) AS module_name, py <> '' OR js <> '' AS is_from_import, i AS start_line
-        FROM (SELECT file_id, repository, i, regexp_extract(l, '^from ([A-Za-z_.][A-Za-z0-9_.]*) import ', 1) AS py,
-        regexp_extract(l, '^(?:import|export)\b.*?from [''"]([^''"]+)[''"]', 1) AS js,
-        regexp_extract(l, '^import (?:static )?([A-Za-z_][A-Za-z0-9_.]*(?:\.\*)?);?$', 1) AS pl FROM (
-        SELECT file_id, repository, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (
-        SELECT file_id, repository, string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS ls FROM src WHERE content IS NOT NULL))
-        WHERE regexp_matches(l, '^(import|from|export) ?')) WHERE coalesce(nullif(py, ''), nullif(js, ''), nullif(pl, '')) IS NOT NULL""",
+        'await','super','synchronized','with','except','print') GROUP BY ALL) s LEFT JOIN owner o ON o.file_id = s.file_id AND o.line = s.line
+        WHERE NOT EXISTS (SELECT 1 FROM func d WHERE d.start_line > 0 AND d.end_line >= d.start_line AND d.file_id = s.file_id AND d.name = s.call_name AND d.start_line = s.line)""",
+    "imp": "SELECT n.file_id, f.repository, target AS module_name, bool_or(import_name IS NOT NULL) AS is_from_import, start_line FROM ({statements}) n JOIN file f ON f.id = n.file_id GROUP BY ALL",
     "res": r"""SELECT s.id AS src, d.id AS dst, CASE WHEN s.caller_file_id = d.file_id THEN 1.0 ELSE 0.7 END::DOUBLE AS score FROM site s
         JOIN func d ON s.repository = d.repository AND s.call_name = d.name QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY score DESC, d.id) = 1""",
     "call": r"""SELECT s.caller_function_id AS caller, r.dst AS callee, max(r.score) AS score, count(*) AS sites FROM res r JOIN site s ON s.id = r.src GROUP BY ALL""",
@@ -64,13 +64,16 @@ CTE = {
         WHEN 'signup' THEN 'STAGE_STARTED' WHEN 'error' THEN 'ERROR' ELSE 'CUSTOM' END AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""",
 }
 CTE["both_"] = CTE.pop("both")
-ORDER = ["file", "src", "func", "cls", "chunk", "hit", "site", "imp", "res", "call", "inh", "cont", "hits", "more", "meta", "both_", "rer", "gr", "fus", "rnk", "dead", "gone", "tree", "pf", "pd", "ps", "pr", "ev"]
+ORDER = ["file", "src", "func", "cls", "chunk", "owner", "hit", "site", "imp", "res", "call", "inh", "cont", "hits", "more", "meta", "both_", "rer", "gr", "fus", "rnk", "dead", "gone", "tree", "pf", "pd", "ps", "pr", "ev"]
 
 
 def sql(body: str, recursive: str = "") -> str:
     """A query with the table expressions that it and they mention."""
     import re
 
+    from codeloom.oracle_lookups import statements
+
+    CTE["imp"] = CTE["imp"].replace("{statements}", statements())
     need, text = set(), body + recursive
     while True:
         more = {n for n in ORDER if n not in need and re.search(rf"\b{n}\b", text)}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from codeloom.oracle import _split, sql
 
 LINES = "string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))"
 FAMILY = r"CASE WHEN regexp_matches(lower(path), '\.py$') THEN 'python' WHEN regexp_matches(lower(path), '\.(js|ts|jsx|tsx)$') THEN 'script' WHEN regexp_matches(lower(path), '\.java$') THEN 'java' END"
@@ -13,7 +12,12 @@ def _quoted(text: str) -> str:
 
 
 def _names() -> str:
-    """Imported names, statement form by statement form."""
+    """Imported names."""
+    return f"SELECT DISTINCT file_id, module_name, import_name, alias, level FROM ({statements()})"
+
+
+def statements() -> str:
+    """Names of import statements with their lines, statement form by statement form."""
     from codeloom.sources import imports as i
 
     def all_(pattern: str, group: int = 0) -> str:
@@ -24,17 +28,19 @@ def _names() -> str:
     name = r"coalesce(nullif(regexp_extract(item, '^(.*?)\s+as\s+', 1), ''), item)"
     alias = r"nullif(regexp_extract(item, '\s+as\s+(\S+)$', 1), '')"
     src = f"(SELECT file_id, {FAMILY} AS family, content FROM src WHERE content IS NOT NULL)"
-    frm = f"(SELECT file_id, regexp_extract(s, 'from[ \\t]+([.\\w]+)', 1) AS module, {items(chr(114) + 'egexp_extract(s, ' + _quoted('[ \\t]import[ \\t]+([\\s\\S]*)$') + ', 1)')} AS item FROM (SELECT file_id, {all_(i.PY_FROM)} AS s FROM {src} WHERE family = 'python'))"
-    plain = f"(SELECT file_id, {items('regexp_extract(s, ' + _quoted('import[ \\t]+([\\s\\S]*)$') + ', 1)')} AS item FROM (SELECT file_id, {all_(i.PY_PLAIN)} AS s FROM {src} WHERE family = 'python'))"
+    line = "1 + length(regexp_replace(left(content, strpos(content, s) + length(s) - length(ltrim(s, ' ')) - 1), '[^\\n]', '', 'g')) AS start_line"
+    frm = f"(SELECT file_id, {line}, regexp_extract(s, 'from[ \\t]+([.\\w]+)', 1) AS module, {items(chr(114) + 'egexp_extract(s, ' + _quoted('[ \\t]import[ \\t]+([\\s\\S]*)$') + ', 1)')} AS item FROM (SELECT file_id, content, {all_(i.PY_FROM)} AS s FROM {src} WHERE family = 'python'))"
+    plain = f"(SELECT file_id, {line}, {items('regexp_extract(s, ' + _quoted('import[ \\t]+([\\s\\S]*)$') + ', 1)')} AS item FROM (SELECT file_id, content, {all_(i.PY_PLAIN)} AS s FROM {src} WHERE family = 'python'))"
     clause = "regexp_replace(regexp_extract(s, " + _quoted(r"""^\s*(?:import|export)\b\s*(?:type\b)?([\s\S]*?)\bfrom[ \t]*['"]""") + r", 1), '\*\s+as\s+', '* as ', 'g')"
-    js = f"(SELECT file_id, regexp_extract(s, {_quoted(chr(91) + chr(39) + chr(34) + '](' + chr(91) + '^' + chr(39) + chr(34) + ']+)[' + chr(39) + chr(34) + ']$')}, 1) AS module, {items(clause)} AS item FROM (SELECT file_id, {all_(i.JS_FROM)} AS s FROM {src} WHERE family = 'script'))"
+    js = f"(SELECT file_id, {line}, regexp_extract(s, {_quoted(chr(91) + chr(39) + chr(34) + '](' + chr(91) + '^' + chr(39) + chr(34) + ']+)[' + chr(39) + chr(34) + ']$')}, 1) AS module, {items(clause)} AS item FROM (SELECT file_id, content, {all_(i.JS_FROM)} AS s FROM {src} WHERE family = 'script'))"
+    bare = f"(SELECT file_id, {line}, regexp_extract(s, {_quoted(chr(91) + chr(39) + chr(34) + '](' + chr(91) + '^' + chr(39) + chr(34) + ']+)[' + chr(39) + chr(34) + ']')}, 1) AS module FROM (SELECT file_id, content, unnest(list_concat(regexp_extract_all(content, {_quoted(i.JS_BARE)}, 0), regexp_extract_all(content, {_quoted(i.JS_REQUIRE)}, 0))) AS s FROM {src} WHERE family = 'script'))"
+    java = f"(SELECT file_id, {line}, regexp_extract(s, {_quoted(i.JAVA)}, 1) AS item FROM (SELECT file_id, content, {all_(i.JAVA)} AS s FROM {src} WHERE family = 'java'))"
     return f"""SELECT DISTINCT * FROM (
-        SELECT file_id, ltrim(module, '.') AS module_name, {name} AS import_name, {alias} AS alias, length(module) - length(ltrim(module, '.')) AS level FROM {frm} WHERE item <> ''
-        UNION ALL SELECT file_id, {name}, NULL, {alias}, 0 FROM {plain} WHERE item <> ''
-        UNION ALL SELECT file_id, module, {name}, {alias}, 0 FROM {js} WHERE item <> ''
-        UNION ALL SELECT file_id, {all_(i.JS_BARE, 1)}, NULL, NULL, 0 FROM {src} WHERE family = 'script'
-        UNION ALL SELECT file_id, {all_(i.JS_REQUIRE, 1)}, NULL, NULL, 0 FROM {src} WHERE family = 'script'
-        UNION ALL SELECT file_id, regexp_replace(item, '\\.?[^.]*$', ''), regexp_extract(item, '([^.]*)$', 1), NULL, 0 FROM (SELECT file_id, {all_(i.JAVA, 1)} AS item FROM {src} WHERE family = 'java'))"""
+        SELECT file_id, start_line, ltrim(module, '.') AS module_name, {name} AS import_name, {alias} AS alias, length(module) - length(ltrim(module, '.')) AS level, ltrim(module, '.') AS target FROM {frm} WHERE item <> ''
+        UNION ALL SELECT file_id, start_line, {name}, NULL, {alias}, 0, {name} FROM {plain} WHERE item <> ''
+        UNION ALL SELECT file_id, start_line, module, {name}, {alias}, 0, module FROM {js} WHERE item <> ''
+        UNION ALL SELECT file_id, start_line, module, NULL, NULL, 0, module FROM {bare}
+        UNION ALL SELECT file_id, start_line, regexp_replace(item, '\\.?[^.]*$', ''), regexp_extract(item, '([^.]*)$', 1), NULL, 0, item FROM {java})"""
 
 
 def _declared() -> str:
@@ -58,6 +64,8 @@ ON, ALL = "b < len(cum)", "greatest(a + 1, b - 10) < len(cum)"
 
 
 def _windows(more: str) -> str:
+    from codeloom.oracle import sql
+
     todo = "todo AS (SELECT file_id, string_split(content, chr(10)) AS ls FROM src WHERE content <> '')"
     return sql(
         "SELECT w.file_id, a + 1 AS start_line, b AS end_line, md5(array_to_string(list_slice(ls, a + 1, b), chr(10))) AS hash FROM win w JOIN held USING (file_id)", todo + ", " + WINDOWS.replace("{more}", more)
@@ -65,6 +73,8 @@ def _windows(more: str) -> str:
 
 
 def queries() -> dict[str, str]:
+    from codeloom.oracle import _split, sql
+
     imp = _names()
     classes = "(SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey > 0 THEN s_suppkey // 2 END AS parent_id FROM supplier)"
     up = f"(SELECT c.id AS src, p.id AS dst FROM {classes} c JOIN {classes} p ON p.id = c.parent_id AND p.id <> c.id)"
@@ -175,5 +185,5 @@ def queries() -> dict[str, str]:
         "changed_since_commit": """SELECT id, CASE WHEN bool_or(old) THEN 'M' ELSE 'A' END AS change_type FROM (SELECT id, "commit" IS NOT DISTINCT FROM first_value("commit") OVER (PARTITION BY repository_url ORDER BY last_updated, "commit") AS old FROM source_files)
             GROUP BY id HAVING bool_or(NOT old)""",
         "vector_near": sql("SELECT query_id, id, score FROM hits WHERE score >= 0.9"),
-        "upsert_known_edges": sql("SELECT caller AS src, callee AS dst, t AS rel_type FROM (SELECT caller, callee, unnest(CASE WHEN right(caller, 1) IN ('0','2','4','6','8') THEN ['CALLS', 'RELATED_TO'] ELSE ['RELATED_TO'] END) AS t FROM call)"),
+        "upsert_known_edges": sql("SELECT caller AS src, callee AS dst, t AS rel_type FROM (SELECT caller, callee, unnest(CASE WHEN right(caller, 1) IN ('0','2','4','6','8') THEN ['CALLS', 'RELATED_TO'] ELSE ['RELATED_TO'] END) AS t FROM call WHERE caller IS NOT NULL)"),
     }

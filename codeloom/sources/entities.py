@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import ids, text
-from codeloom.tables import latest, read
+from codeloom.sources import imports
+from codeloom.tables import current_files, latest, read
 
 # Words before a bracket that are no calls.
 NO_CALLS = "if for while switch catch return function def class and or not in elif assert lambda await super synchronized with except print".split()
@@ -37,45 +38,66 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"])
 
 
+#: Strings and comments within a line, by family of languages, and what names a definition before a bracket.
+PY_QUIET = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|#.*$"
+C_QUIET = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|//.*$|/\*.*?\*/|^\s*(?:/?\*.*)$"
+HEAD = r"\b(?:def|class|function)\b\s*\*?\s*[A-Za-z_$][A-Za-z0-9_$]*\s*\("
+CALL = r"(\.?[A-Za-z_][A-Za-z0-9_]*)(?:<[A-Za-z0-9_, .?]*>)?\("
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, path, repository, content) of the current texts, repeats once, null texts left out."""
+    return current_files(spark, sf_dir).where("content IS NOT NULL").select("file_id", "path", "repository", "content").distinct()
+
+
 def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, call_name, is_attribute_call, caller_file_id, caller_function_id, repository, start_line), one row per id.
 
-    Read off the text of each function, its first line (the head) aside: every name before an opening bracket.
+    Read off whole texts: every name before an opening bracket (type arguments aside) outside strings and comments that
+    is no head of a definition. The caller is the innermost function whose lines hold the site, null outside functions.
     """
-    code = chunks(spark, sf_dir).where("content_type = 'function'").select("file_id", "entity_id", "start_line", "content")
-    names = (
-        code.select("file_id", "entity_id", "start_line", F.posexplode(F.split("content", "\n")).alias("at", "line"))
-        .where("at > 0")
-        .select("file_id", "entity_id", (F.col("start_line") + F.col("at")).alias("start_line"), F.explode(F.regexp_extract_all("line", F.lit(r"(\.?[A-Za-z_][A-Za-z0-9_]*)\("), 1)).alias("hit"))
-        .select("file_id", "entity_id", "start_line", F.ltrim(F.col("hit"), F.lit(".")).alias("call_name"), F.startswith("hit", F.lit(".")).alias("dotted"))
-        .where(~F.col("call_name").isin(NO_CALLS))
+    python = text.extension(F.col("path")) == ".py"
+    # what stands between triple quotes leaves its line ends only
+    parts = F.split(F.regexp_replace("content", "\r\n?", "\n"), "\"\"\"|'''")
+    quiet = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.regexp_replace(x, "[^\n]", "")).otherwise(x)), "\"\"")
+    code = sources(spark, sf_dir).where(text.language_of(F.col("path")).isNotNull()).select(
+        "file_id", "repository", python.alias("python"), F.posexplode(F.split(F.when(python, quiet).otherwise(F.regexp_replace("content", "\r\n?", "\n")), "\n")).alias("at", "line")
     )
+    bare = F.regexp_replace(F.when(F.col("python"), F.regexp_replace("line", PY_QUIET, "")).otherwise(F.regexp_replace("line", C_QUIET, "")), HEAD, "(")
     sites = (
-        names.groupBy("file_id", "call_name", "start_line")
-        .agg(F.min("entity_id").alias("caller_function_id"), F.max("dotted").alias("is_attribute_call"))
-        .withColumn("id", ids.call_site_id(F.col("file_id"), F.col("call_name"), F.col("start_line")))
+        code.where(F.col("line").contains("("))
+        .select("file_id", "repository", (F.col("at") + 1).alias("start_line"), F.explode(F.regexp_extract_all(bare, F.lit(CALL), F.lit(1))).alias("hit"))
+        .select("file_id", "repository", "start_line", F.ltrim(F.col("hit"), F.lit(".")).alias("call_name"), F.startswith("hit", F.lit(".")).alias("dotted"))
+        .where(~F.col("call_name").isin(NO_CALLS))
+        .groupBy("file_id", "repository", "call_name", "start_line")
+        .agg(F.max("dotted").alias("is_attribute_call"))
     )
-    repo = files(spark, sf_dir).select(F.col("id").alias("file_id"), "repository")
-    return sites.join(repo, "file_id").select(
-        "id", "call_name", "is_attribute_call", F.col("file_id").alias("caller_file_id"), "caller_function_id", "repository", "start_line"
+    defined = functions(spark, sf_dir).where("start_line > 0 AND end_line >= start_line")
+    heads = defined.select("file_id", F.col("name").alias("call_name"), "start_line").distinct()
+    owner = (
+        defined.select("file_id", F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "id").alias("f"), F.explode(F.sequence("start_line", "end_line")).alias("start_line"))
+        .groupBy("file_id", "start_line")
+        .agg(F.min("f").alias("f"))
+        .select("file_id", "start_line", F.col("f.id").alias("caller_function_id"))
+    )
+    return (
+        sites.join(heads, ["file_id", "call_name", "start_line"], "left_anti")
+        .join(owner, ["file_id", "start_line"], "left")
+        .select(
+            ids.call_site_id(F.col("file_id"), F.col("call_name"), F.col("start_line")).alias("id"), "call_name", "is_attribute_call", F.col("file_id").alias("caller_file_id"), "caller_function_id", "repository", "start_line"
+        )
     )
 
 
 def import_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, file_id, module_name, is_from_import, start_line, repository): one row per imported module and line."""
-    now = files(spark, sf_dir)
-    raw = read(spark, sf_dir, "files_raw").select("path", "repository", "commit", "content")
-    src = now.join(raw, ["repository", "path", "commit"]).select(F.col("id").alias("file_id"), "repository", "content").where("content IS NOT NULL")
+    """(id, file_id, module_name, is_from_import, start_line, repository): one row per imported module and line; in Java the
+    module is the whole dotted name."""
+    src = sources(spark, sf_dir)
     rows = (
-        src.select("file_id", "repository", F.posexplode(text.lines(F.col("content"))).alias("at", "line"))
-        .where(F.col("line").rlike(r"^(import|from|export) ?"))
-        .withColumn("py_from", F.regexp_extract("line", r"^from ([A-Za-z_.][A-Za-z0-9_.]*) import ", 1))
-        .withColumn("js", F.regexp_extract("line", r"^(?:import|export)\b.*?from ['\"]([^'\"]+)['\"]", 1))
-        .withColumn("plain", F.regexp_extract("line", r"^import (?:static )?([A-Za-z_][A-Za-z0-9_.]*(?:\.\*)?);?$", 1))
-        .withColumn("module_name", F.coalesce(F.nullif(F.col("py_from"), F.lit("")), F.nullif(F.col("js"), F.lit("")), F.nullif(F.col("plain"), F.lit(""))))
-        .where("module_name IS NOT NULL")
-        .select("file_id", "repository", "module_name", ((F.col("py_from") != "") | (F.col("js") != "")).alias("is_from_import"), (F.col("at") + 1).alias("start_line"))
-        .distinct()
+        imports.import_statements(src)
+        .groupBy("file_id", F.col("target").alias("module_name"), "start_line")
+        .agg(F.max(F.col("import_name").isNotNull()).alias("is_from_import"))
+        .join(files(spark, sf_dir).select(F.col("id").alias("file_id"), "repository"), "file_id")
     )
     return rows.withColumn("id", ids.joined(F.col("file_id"), F.lit("import"), F.col("module_name"), F.col("start_line")))
 

@@ -61,7 +61,15 @@ def family(path: Column) -> Column:
 
 
 def imported_names(files: DataFrame) -> DataFrame:
-    """(file_id, module_name, import_name, alias, level): one row per name that a file imports, each once.
+    """(file_id, module_name, import_name, alias, level): one row per name that a file imports, each once."""
+    return import_statements(files).select("file_id", "module_name", "import_name", "alias", "level").distinct()
+
+
+def import_statements(files: DataFrame) -> DataFrame:
+    """(file_id, module_name, import_name, alias, level, target, start_line): one row per name of each import statement.
+
+    target is the module that the statement asks for, in Java the whole dotted name. A statement that a text has several
+    times counts where it is first.
 
     import_name is null where a module is imported for its effects or as a whole; level counts the dots before a module.
     files: file_id, path, content; null texts have none.
@@ -73,24 +81,27 @@ def imported_names(files: DataFrame) -> DataFrame:
     name = F.coalesce(_none(named("item")), F.col("item"))
     items = lambda c: F.explode(F.transform(F.split(F.regexp_replace(c, r"#[^\n]*|[(){}]", " "), ","), lambda x: _blank(F.regexp_replace(x, r"\s+", " "))))
 
-    frm = python.select("file_id", F.explode(_all(PY_FROM)).alias("s")).select(
-        "file_id", F.regexp_extract("s", r"from[ \t]+([.\w]+)", 1).alias("module"), items(F.regexp_extract("s", r"[ \t]import[ \t]+([\s\S]*)$", 1)).alias("item")
+    # the line on which a statement's own text, blanks before it aside, first stands
+    line = (F.length(F.regexp_replace(F.expr("substring(content, 1, locate(s, content) + length(s) - length(ltrim(s)) - 1)"), "[^\n]", "")) + 1).alias("start_line")
+    frm = python.select("file_id", "content", F.explode(_all(PY_FROM)).alias("s")).select(
+        "file_id", line, F.regexp_extract("s", r"from[ \t]+([.\w]+)", 1).alias("module"), items(F.regexp_extract("s", r"[ \t]import[ \t]+([\s\S]*)$", 1)).alias("item")
     )
     dots = F.length(F.regexp_extract("module", r"^(\.*)", 1))
-    rows = frm.where("item <> ''").select("file_id", F.regexp_replace("module", r"^\.+", "").alias("module_name"), name.alias("import_name"), alias.alias("alias"), dots.alias("level"))
-    plain = python.select("file_id", F.explode(_all(PY_PLAIN)).alias("s")).select("file_id", items(F.regexp_extract("s", r"import[ \t]+([\s\S]*)$", 1)).alias("item"))
+    rows = frm.where("item <> ''").select("file_id", "start_line", F.regexp_replace("module", r"^\.+", "").alias("module_name"), name.alias("import_name"), alias.alias("alias"), dots.alias("level"))
+    plain = python.select("file_id", "content", F.explode(_all(PY_PLAIN)).alias("s")).select("file_id", line, items(F.regexp_extract("s", r"import[ \t]+([\s\S]*)$", 1)).alias("item"))
     zero, null = F.lit(0), F.lit(None).cast("string")
-    rows = rows.unionByName(plain.where("item <> ''").select("file_id", name.alias("module_name"), null.alias("import_name"), alias.alias("alias"), zero.alias("level")))
-    clause = script.select("file_id", F.explode(_all(JS_FROM)).alias("s")).select(
-        "file_id", F.regexp_extract("s", r"['\"]([^'\"]+)['\"]$", 1).alias("module_name"),
+    rows = rows.unionByName(plain.where("item <> ''").select("file_id", "start_line", name.alias("module_name"), null.alias("import_name"), alias.alias("alias"), zero.alias("level")))
+    clause = script.select("file_id", "content", F.explode(_all(JS_FROM)).alias("s")).select(
+        "file_id", line, F.regexp_extract("s", r"['\"]([^'\"]+)['\"]$", 1).alias("module_name"),
         items(F.regexp_replace(F.regexp_extract("s", r"^\s*(?:import|export)\b\s*(?:type\b)?([\s\S]*?)\bfrom[ \t]*['\"]", 1), r"\*\s+as\s+", "* as ")).alias("item"),
     )
-    rows = rows.unionByName(clause.where("item <> ''").select("file_id", "module_name", name.alias("import_name"), alias.alias("alias"), zero.alias("level")))
-    bare = script.select("file_id", F.explode(F.concat(_all(JS_BARE, 1), _all(JS_REQUIRE, 1))).alias("module_name"))
-    rows = rows.unionByName(bare.select("file_id", "module_name", null.alias("import_name"), null.alias("alias"), zero.alias("level")))
-    whole = java.select("file_id", F.explode(_all(JAVA, 1)).alias("item"))
+    rows = rows.unionByName(clause.where("item <> ''").select("file_id", "start_line", "module_name", name.alias("import_name"), alias.alias("alias"), zero.alias("level")))
+    bare = script.select("file_id", "content", F.explode(F.concat(_all(JS_BARE), _all(JS_REQUIRE))).alias("s")).select("file_id", line, F.regexp_extract("s", r"['\"]([^'\"\n]+)['\"]", 1).alias("module_name"))
+    rows = rows.unionByName(bare.select("file_id", "start_line", "module_name", null.alias("import_name"), null.alias("alias"), zero.alias("level")))
+    rows = rows.withColumn("target", F.col("module_name"))
+    whole = java.select("file_id", "content", F.explode(_all(JAVA)).alias("s")).select("file_id", line, F.regexp_extract("s", JAVA, 1).alias("item"))
     rows = rows.unionByName(
-        whole.select("file_id", F.regexp_replace("item", r"\.?[^.]*$", "").alias("module_name"), F.regexp_extract("item", r"([^.]*)$", 1).alias("import_name"), null.alias("alias"), zero.alias("level"))
+        whole.select("file_id", "start_line", F.col("item").alias("target"), F.regexp_replace("item", r"\.?[^.]*$", "").alias("module_name"), F.regexp_extract("item", r"([^.]*)$", 1).alias("import_name"), null.alias("alias"), zero.alias("level"))
     )
     return rows.distinct()
 
