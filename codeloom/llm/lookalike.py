@@ -65,6 +65,8 @@ WORD = re.compile("[^\\W\\d_](?:[^\\W\\d_]|[\u0300-\u036fⅠ-ⅿ])*|[Ⅰ-ⅿ]+")
 #: The same for Spark's expressions.
 WORDS = r"[\p{L}Ⅰ-ⅿ][\p{L}\u0300-\u036fⅠ-ⅿ]*"
 EMOJI_JOIN = regex.compile(r"(?<=\p{Extended_Pictographic}[\ufe0f\U0001f3fb-\U0001f3ff]*)\u200d(?=\p{Extended_Pictographic})")
+#: Words that are sent to every task at most, some megabytes.
+FEW = 100_000
 #: Stands for a joiner that holds an emoji together while the other joiners go.
 KEPT = "\ue0ff"
 
@@ -159,8 +161,11 @@ def repaired(one: DataFrame, salts: int) -> DataFrame:
     it, salted, because a word may be asked for by every text.
     """
     asking = one.where("size(asked) > 0")
-    wanted = asking.select(F.explode("asked").alias("word")).distinct()
-    vocabulary = one.select(F.explode(F.array_distinct(F.regexp_extract_all("folded", F.lit(WORDS), F.lit(0)))).alias("word")).distinct().join(wanted, "word", "left_semi")
+    wanted = cut(asking.select(F.explode("asked").alias("word")).distinct())
+    words = one.select(F.explode(F.array_distinct(F.regexp_extract_all("folded", F.lit(WORDS), F.lit(0)))).alias("word"))
+    # few words are sought where the texts are; many meet the distinct words of the corpus
+    few = wanted.count() <= FEW
+    vocabulary = words.join(F.broadcast(wanted), "word", "left_semi").distinct() if few else words.distinct().join(wanted, "word", "left_semi")
     salted = vocabulary.select("word", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     spread = asking.select("k", "stored", F.explode("asked").alias("word")).withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int"))
     known = spread.join(salted, ["word", "salt"]).groupBy("k", "stored").agg(F.collect_set("word").alias("known"))

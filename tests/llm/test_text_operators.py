@@ -86,7 +86,9 @@ def test_only_mixed_tokens_with_a_word_of_the_corpus_change():
     assert [lookalike.latin(lookalike.fold(t)) for t in ("ρ", "α", "υ", "ϲ", "ӏ", "ѵ", "Ⅰ", "𝐚", "Ꭺ")] == list("paucvI".replace("v", "lv")) + ["a", "A"]
 
 
-def test_words_of_the_corpus_come_back(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_words_of_the_corpus_come_back(spark, monkeypatch, few):
+    monkeypatch.setattr(lookalike, "FEW", few)
     df = spark.createDataFrame([(1, "Проверьте кэш"), (2, "Пpoверьте кэш"), (3, None), (4, ""), (5, "plain"), (6, "plаin"), (7, " \u200b "), (8, "  ")], "doc_id bigint, text string")
     forms = {r.doc_id: r.form for r in lookalike.unified(df).collect()}
     assert forms[1] == forms[2] == "Проверьте кэш" and forms[3] is None and forms[4] == "" and forms[5] == forms[6] == "plain"
