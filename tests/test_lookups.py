@@ -72,3 +72,37 @@ def test_chunks_of_files(spark):
     got = {(r.file_id, r.kind, r.start_line, r.end_line) for r in chunking.dispatched(files, entities).collect()}
     assert got == {("a", "header", 1, 2), ("a", "entity", 3, 5), ("b", "window", 1, 4), ("c", "window", 1, 2)}
     assert chunking.file_chunks(files.limit(0)).count() == 0
+
+
+def test_call_sites_of_whole_texts(spark, tmp_path):
+    from codeloom.sources import entities as e
+
+    py = 'import x\nmain(1)\ndef outer(a):\n    """calls nothing(1)\n    nor this(2)"""\n    def inner(b):\n        return b.go(f(1), "g(2)")  # h(3)\n    inner(a)\nclass K(Base):\n    field = make()\n'
+    ts = "const r = () => run<string>(1);\n/** doc(1)\n * more(2)\n */\nexport class C {\n  method(a) {\n    return `t(${1})` + this.go(a); // no(1)\n  }\n}\n"
+    files = [("p", "a.py", py), ("t", "b.ts", ts), ("n", "c.py", None), ("m", "d.md", "text(1)")]
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    write("source_files", [(i, p, p, None, "r", "u", "c", "b", None, "2025") for i, p, _ in files], "id string, path string, name string, language string, repository string, repository_url string, commit string, branch string, created_at string, last_updated string")
+    write("files_raw", [(p, c, "r", "u", "c", "b") for _, p, c in [*files, files[0]]], "path string, content string, repository string, url string, commit string, branch string")
+    functions = [("fo", "outer", "p", 3, 8), ("fi", "inner", "p", 6, 7), ("fm", "method", "t", 6, 8), ("fx", "lost", "p", 0, 0), ("fo", "outer", "p", 3, 8)]
+    write("function_defs", [(i, n, None, None, f, None, None, None, s, t, False) for i, n, f, s, t in functions], "id string, name string, docstring string, return_type string, file_id string, class_id string, repository string, params array<string>, start_line int, end_line int, is_method boolean")
+    got = {(r.caller_file_id, r.call_name, r.start_line, r.caller_function_id, r.is_attribute_call) for r in e.call_sites(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("p", "main", 2, None, False), ("p", "go", 7, "fi", True), ("p", "f", 7, "fi", False), ("p", "inner", 8, "fo", False), ("p", "make", 10, None, False),
+        ("t", "run", 1, None, False), ("t", "go", 7, "fm", True),
+    }
+    sites = [(r.module_name, r.start_line, r.is_from_import) for r in e.import_sites(spark, str(tmp_path)).collect()]
+    assert sites == [("x", 1, False)]
+
+
+def test_stages_over_days(spark):
+    from codeloom.streaming import events as ev
+
+    rows = [
+        (1, "a", "2024-01-01 10:00:00", "S"), (2, "a", "2024-01-03 10:00:00", "E"), (3, "a", "2024-01-03 11:00:00", "S"), (4, "a", "2024-01-03 11:00:30", "E"), (5, "b", "2024-01-02 00:00:00", "E"),
+        (6, None, "2024-01-01 00:00:00", "S"), (7, None, "2024-01-05 00:00:00", "E"), (8, "a", None, "E"), (9, "a", "2024-01-02 00:00:00", "X"),
+    ]
+    df = spark.createDataFrame(rows, "event_id int, source string, t string, kind string").withColumn("ts", F.col("t").cast("timestamp")).drop("t")
+    got = {(r.event_id, r.source): r.seconds for r in ev.stage_durations(df, "S", "E").collect()}
+    assert got == {(2, "a"): 172800.0, (4, "a"): 30.0, (7, None): 345600.0}
+    made = {r.event_id: (r.kind, r.data) for r in ev.made(spark.createDataFrame([(1, "view", '{"k": 3, "source": "x"}', 5), (2, None, None, None)], "event_id int, event_type string, props string, user_id int").withColumn("ts", F.lit(None).cast("timestamp"))).collect()}
+    assert made[1] == ("FILE_PROCESSED", {"k": "3", "source": "x", "type": "view"}) and made[2][1] == {}
