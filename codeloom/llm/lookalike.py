@@ -55,9 +55,13 @@ FOLD = str.maketrans(
     | {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in [*range(0xFF61, 0xFFA0), *range(0xFFE0, 0xFFE7), *range(0x1D400, 0x1D800)]}
     | {"µ": "μ", "ﾞ": "\u3099", "ﾟ": "\u309a"}
 )
+#: Any character that FOLD knows, those of other planes as one range.
+FOLDABLE = re.compile("[" + re.escape("".join(chr(c) for c in sorted(FOLD) if c < 0x10000)) + "\U0001d400-\U0001d7ff]")
 TO_LATIN = str.maketrans(LATIN_OF)
 #: A letter of a script that shares letters with Latin.
 OTHER = re.compile("[" + "".join(LATIN_OF) + "Ͱ-ԯ\u0530-֏Ꭰ-Ᏽ]")
+#: Runs of them with what is set on them.
+OTHERS = re.compile(f"(?:{OTHER.pattern}[\u0300-\u036f\u0483-\u0487]*)+")
 #: Runs of letters of one script, where scripts share letters.
 RUNS = re.compile("([A-Za-zª-ɏɐ-ʯḀ-ỿⅠ-ⅿ]+)|([Ѐ-ԯ]+)|([Ͱ-Ͽἀ-\u1fff]+)|([\u0530-֏]+)|([Ꭰ-Ᏽ]+)")
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee")
@@ -77,14 +81,19 @@ def fold(text: str) -> str:
         return text
     if "\u200d" in text:
         text = EMOJI_JOIN.sub(KEPT, text)
-    return unicodedata.normalize("NFC", text.translate(FOLD)).replace(KEPT, "\u200d")
+    if FOLDABLE.search(text):  # most texts have nothing to fold
+        text = text.translate(FOLD)
+    return (text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)).replace(KEPT, "\u200d")
+
+
+@lru_cache(maxsize=200_000)
+def latin_run(run: str) -> str:
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", run).translate(TO_LATIN))
 
 
 def latin(text: str) -> str:
     """The folded text with every look-alike letter in its Latin form, also below an accent."""
-    if not OTHER.search(text):
-        return text
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(TO_LATIN))
+    return OTHERS.sub(lambda m: latin_run(m[0]), text)
 
 
 @lru_cache(maxsize=200_000)
