@@ -1,16 +1,18 @@
 """Problem 4: the k most similar vectors of every vector, by a hierarchical k-means tree.
 
-The upper levels of the tree are fitted on a bounded sample (SAMPLE vectors, however many there are) and cut the space
+The upper level of the tree is fitted on a bounded sample (SAMPLE vectors, however many there are) and cuts the space
 into at most MOST_CELLS cells; a cell that holds more than two times CELL vectors is divided once more by centres fitted
 where its vectors are, on a bounded sample of each such cell (SPLIT_SAMPLE), into at most SPLIT cells. The centres of all
-levels (at most MOST_CELLS x SPLIT) are one tree that every task has. Every vector is stored in one cell. A query visits
-its own cell and each further cell whose centre is almost as similar to it, in best-bin-first order. How far "almost"
-reaches, and how many cells a query may visit, is calibrated: the true neighbours of PROBED query vectors are found by
-one exact pass over all vectors, and the margin is widened until their cells are reached for RECALL of them. Visitors of
-a cell are candidates there as well, so a pair is met when either of the two visits the other. Inside a cell the vectors
-are divided by a tree again, and the number of leaves that a query visits there grows until exact search in that cell
-confirms the recall. Visitors carry half precision: a pair met only by a visit has its similarity to about 1e-3, pairs of
-one cell in double precision.
+cells (at most MOST_CELLS x SPLIT) are one table that every task has. Every vector is stored in the cell of its nearest
+centre. A query visits its own cell and each further cell whose centre is almost as similar to it. Visitors of a cell are
+candidates there as well, so a pair is met in any cell that both visit. How far "almost" reaches is calibrated on just
+that: the true neighbours of PROBED query vectors, which the centres were not fitted on, are found by one exact pass over
+all vectors, and the margin is widened until RECALL of these pairs meet. Inside a cell the vectors are divided by a tree
+again, and the number of leaves that a query visits there grows until exact search in that cell confirms the recall. A
+visitor takes from a cell only what is as similar as FLOOR_AT of the true neighbours are (what is less similar is not
+among its nearest, and would be most of what is shuffled); its own cell gives it its k best in any case. Pairs that this
+leaves out count as not met in the calibration. Visitors carry half precision: a pair met only by a visit has its
+similarity to about 1e-3, pairs of one cell in double precision.
 
 Exact copies of one vector, of which there may be any number, count as HOT + 1 index rows at most: with k + 1 smallest
 ids of a vector in the index, further copies cannot enter any list, and their own lists are read off their class.
@@ -33,13 +35,16 @@ from pyspark.sql import functions as F
 from codeloom.tables import cut
 
 #: Bounds of what is fitted or calibrated on the driver, and the intended size of a cell and of a leaf.
-SAMPLE, PROBED, CELL, LEAF, BRANCH, LEAST_CELLS, MOST_CELLS = 32_768, 256, 9_000, 160, 64, 24, 4_096
+SAMPLE, PROBED, CELL, LEAF, BRANCH, LEAST_CELLS, MOST_CELLS = 32_768, 256, 18_000, 160, 64, 24, 4_096
 #: Vectors of which the centres of one overfull cell are fitted, and cells that it is divided into at most.
 SPLIT_SAMPLE, SPLIT = 2_048, 64
-#: Recall to which the margin between cells and the visits within a cell are widened.
-RECALL = 0.955
+#: Recall to which the margin between cells is widened (the visits within a cell lose a third of what is left of it), and
+#: share of true neighbours that are less similar than what a visitor takes.
+RECALL, FLOOR_AT = 0.99, 0.0025
 #: More equal copies than this of one vector are taken out of the index and answered from their class.
 HOT = 64
+#: What a row of a cell is: stored there, a question in another piece of the cell that it is stored in, one from another cell.
+MEMBER, HERE, VISITOR = 0, 1, 2
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -67,6 +72,7 @@ class Tree:
     def __init__(self, x: np.ndarray, leaf: int, branch: int = BRANCH, fit: int = 4_096):
         self.inner: list[tuple[np.ndarray, np.ndarray]] = []
         self.leaves = 0
+        self.table: np.ndarray | None = None
         self.leaf, self.branch, self.fit = leaf, branch, fit
         self.root = self._grow(x)
 
@@ -91,6 +97,7 @@ class Tree:
         """Put an inner node with these centres in the place of a leaf; its first child keeps the leaf's number."""
         children = np.array([-leaf - 1, *(-self.leaves - 1 - i for i in range(len(centres) - 1))], dtype=np.int64)
         self.leaves += len(centres) - 1
+        self.table = None
         node = len(self.inner)
         if self.root == -leaf - 1:
             self.root = node
@@ -99,52 +106,27 @@ class Tree:
                 kids[kids == -leaf - 1] = node
         self.inner.append((centres.astype(np.float32), children))
 
-    def visit(self, q: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Leaves of each query in best-bin-first order, -1 where there are no more, and their similarities.
+    def centres(self) -> np.ndarray:
+        """The centre of each leaf."""
+        if self.table is None:
+            self.table = np.zeros((self.leaves, self.inner[0][0].shape[1]), dtype=np.float32)
+            for centres, kids in self.inner:
+                self.table[-kids[kids < 0] - 1] = centres[kids < 0]
+        return self.table
 
-        One priority queue per query, kept side by side in two arrays: the best bin is taken from all queues at once;
-        inner nodes put their children into the queues, leaves are noted.
-        """
+    def visit(self, q: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Leaves of each query in the order of their centres' similarity, and these similarities."""
         n, visits = len(q), min(visits, self.leaves)
-        leaves = np.full((n, visits), -1, dtype=np.int64)
-        scores = np.full((n, visits), -2.0, dtype=np.float32)
+        leaves, scores = np.zeros((n, visits), dtype=np.int64), np.ones((n, visits), dtype=np.float32)
         if self.root < 0:
-            leaves[:, 0], scores[:, 0] = -self.root - 1, 1.0
             return leaves, scores
-        width = self.branch * 2
-        best = np.full((n, width), -np.inf, dtype=np.float32)
-        node = np.zeros((n, width), dtype=np.int64)
-        used = np.ones(n, dtype=np.int64)
-        best[:, 0], node[:, 0] = 2.0, self.root
-        found = np.zeros(n, dtype=np.int64)
-        active = np.arange(n)
-        while len(active):
-            top = np.argmax(best[active], axis=1)
-            score, what = best[active, top], node[active, top]
-            best[active, top] = -np.inf
-            live = score > -np.inf
-            leafy = live & (what < 0)
-            a = active[leafy]
-            leaves[a, found[a]] = -what[leafy] - 1
-            scores[a, found[a]] = score[leafy]
-            found[a] += 1
-            opened = live & (what >= 0)
-            a, w = active[opened], what[opened]
-            order = np.argsort(w, kind="stable")
-            a, w = a[order], w[order]
-            for s in np.split(np.arange(len(w)), np.flatnonzero(np.diff(w)) + 1) if len(w) else []:
-                c, children = self.inner[w[s[0]]]
-                rows = a[s]
-                need = int(used[rows].max()) + len(c)
-                if need > best.shape[1]:
-                    more = max(need - best.shape[1], self.branch * 2)
-                    best = np.pad(best, ((0, 0), (0, more)), constant_values=-np.inf)
-                    node = np.pad(node, ((0, 0), (0, more)))
-                at = used[rows][:, None] + np.arange(len(c))
-                best[rows[:, None], at] = q[rows] @ c.T
-                node[rows[:, None], at] = children
-                used[rows] += len(c)
-            active = active[live & (found[active] < visits)]
+        step = max(64, (1 << 22) // self.leaves)
+        for i in range(0, n, step):
+            s = q[i : i + step] @ self.centres().T
+            best = np.argpartition(-s, visits - 1, axis=1)[:, :visits] if visits < self.leaves else np.broadcast_to(np.arange(self.leaves), s.shape)
+            near = np.take_along_axis(s, best, axis=1)
+            order = np.argsort(-near, axis=1, kind="stable")
+            leaves[i : i + step], scores[i : i + step] = np.take_along_axis(best, order, axis=1), np.take_along_axis(near, order, axis=1)
         return leaves, scores
 
 
@@ -154,26 +136,27 @@ def exact(q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-s, k - 1, axis=1)[:, :k]
 
 
-def search_cell(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Queries and row numbers of x: about the k + 3 best of each q and at least k with recall RECALL, unordered.
+def search_cell(x: np.ndarray, at_home: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of x and of others: about the k + 3 best of each row, of rows not at home those above the floor only.
 
-    The leaf nearest to a query gives it a bar; from further leaves only what passes the bar is kept.
+    The leaf nearest to a row gives it a bar; from further leaves only what passes the bar is kept.
     """
     keep = k + 3
     tree = Tree(x, 2 * LEAF)
     home = tree.visit(x, 1)[0][:, 0]
     order = np.argsort(home, kind="stable")
     begin = np.searchsorted(home[order], np.arange(tree.leaves + 1))
-    asked = q[:: max(1, len(q) // 64)]
-    truth, seen = exact(asked, x, k + 1), tree.visit(asked, tree.leaves)[0]
-    visits = min(2, tree.leaves)
-    while visits < tree.leaves:
-        reached = np.mean([np.isin(home[t], s[:visits]).mean() for t, s in zip(truth, seen)])
-        if reached >= 1 - (1 - RECALL) / 3:
-            break
-        visits = min(tree.leaves, visits + max(1, visits // 2))
-    leaves = tree.visit(q, visits)[0]
-    bar = np.full(len(q), -2.0, dtype=np.float32)
+    asked = np.arange(0, len(x), max(1, len(x) // 128))
+    truth, seen = exact(x[asked], x, k + 1), tree.visit(x[asked], tree.leaves)[0]
+    rank = np.empty_like(seen)
+    np.put_along_axis(rank, seen, np.arange(tree.leaves)[None, :], axis=1)
+    rank = np.take_along_axis(rank, home[truth], axis=1) + 1
+    other = truth != asked[:, None]
+    counts = other & (np.einsum("nd,nkd->nk", x[asked], x[truth]) >= floor)
+    ranks = rank[counts] if counts.any() else rank[other]
+    visits = min(tree.leaves, max(2, int(np.quantile(ranks, 1 - (1 - RECALL) / 3, method="higher")))) if len(ranks) else tree.leaves
+    leaves = tree.visit(x, visits)[0]
+    bar = np.where(at_home, -2.0, floor).astype(np.float32)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for first in (True, False):
         flat = (leaves[:, :1] if first else leaves[:, 1:]).ravel()
@@ -186,15 +169,15 @@ def search_cell(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
                 continue
             for part in range(0, len(rows), 2_048):
                 r = rows[part : part + 2_048]
-                s = q[r] @ x[members].T
+                s = x[r] @ x[members].T
                 if first and len(members) > keep:
-                    bar[r] = np.partition(s, len(members) - keep, axis=1)[:, len(members) - keep]
+                    bar[r] = np.maximum(bar[r], np.partition(s, len(members) - keep, axis=1)[:, len(members) - keep])
                 at, col = np.nonzero(s >= bar[r][:, None])
                 found.append((r[at], members[col], s[at, col]))
     row, col, score = (np.concatenate(v) for v in zip(*found))
     by = np.lexsort((-score, row))
     row, col = row[by], col[by]
-    start = np.searchsorted(row, np.arange(len(q)))
+    start = np.searchsorted(row, np.arange(len(x)))
     near = np.arange(len(row)) - start[row] < keep
     return row[near], col[near]
 
@@ -285,7 +268,7 @@ def neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, id_: str = "id", n
 
     if total == 0:
         return spark.createDataFrame([], "id string, neighbour string, similarity double, rank int")
-    tree, margin, visits, pieces = fitted(current, total, k, dim)
+    tree, (margin, floor), visits, pieces = fitted(current, total, k, dim)
     shared = spark.sparkContext.broadcast((tree, margin, visits, pieces))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,8 +279,7 @@ def neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, id_: str = "id", n
             ids, vecs = batch.column("id"), batch.column("vector")
             x = unit(matrix(vecs, dim))
             leaves, scores = tree.visit(x, visits)
-            near = (leaves >= 0) & (scores >= scores[:, :1] - margin)
-            near[:, 0] = True
+            near = scores >= scores[:, :1] - margin
             row, slot = np.nonzero(near)
             cell = leaves[row, slot]
             # a cell that the sample shows to be large lies in several pieces; members are in one, questions in each
@@ -307,34 +289,40 @@ def neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, id_: str = "id", n
             mine = np.asarray(batch.column("h"), dtype=np.int64).astype(np.uint64)[row] % pieces[cell].astype(np.uint64)
             member = (slot == 0) & (part == mine.astype(np.int64))
             number = np.concatenate([[0], np.cumsum(pieces)])[cell] + part
+            role = np.where(member, MEMBER, np.where(slot == 0, HERE, VISITOR)).astype(np.int8)
             for own in (True, False):  # members keep their vector; a question elsewhere carries half precision
                 pick = member == own
                 take = pa.array(row[pick])
                 data = matrix(vecs, dim)[row[pick]] if own else x[row[pick]].astype(np.float16)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(number[pick], pa.int32()), pa.array(member[pick]), ids.take(take), as_bytes(data)],
-                    ["cell", "is_member", "id", "vector"],
+                    [pa.array(number[pick], pa.int32()), pa.array(role[pick]), ids.take(take), as_bytes(data)],
+                    ["cell", "role", "id", "vector"],
                 )
 
     def answer(table: pa.Table) -> pa.Table:
         ids = table.column("id").combine_chunks()
         data = table.column("vector").combine_chunks()
-        member = np.asarray(table.column("is_member"))
-        if not member.any():
+        role = np.asarray(table.column("role"))
+        if not (role == MEMBER).any():
             return pa.table({"id": pa.array([], pa.binary()), "entries": pa.array([], pa.list_(pa.binary()))})
         # a repeated row counts once; all in the order of their ids, so that equal similarities go to the smaller id
         _, at = np.unique([text_of(b) for b in ids.to_pylist()], return_index=True)
-        mine = member[at]
-        wide = np.empty((len(at), dim))
-        wide[mine] = rows_of(data.take(pa.array(at[mine])), np.float32, dim)
-        wide[~mine] = rows_of(data.take(pa.array(at[~mine])), np.float16, dim)
-        wide /= np.linalg.norm(wide, axis=1, keepdims=True)
-        # visitors are candidates too: a pair is met where either of the two visits the other
-        x = wide.astype(np.float32)
-        row, best = search_cell(x, x, k)
+        role = role[at]
+        mine = role == MEMBER
+        raw = np.empty((len(at), dim), dtype=np.float32)
+        raw[mine] = rows_of(data.take(pa.array(at[mine])), np.float32, dim)
+        raw[~mine] = rows_of(data.take(pa.array(at[~mine])), np.float16, dim)
+        # visitors are candidates too: a pair is met where any cell is visited by both
+        x, norm = np.empty_like(raw), np.empty(len(raw))
+        for s in range(0, len(raw), 16_384):
+            wide = raw[s : s + 16_384].astype(np.float64)
+            norm[s : s + 16_384] = np.linalg.norm(wide, axis=1)
+            x[s : s + 16_384] = wide / norm[s : s + 16_384, None]
+        row, best = search_cell(x, role != VISITOR, k, floor)
         sims = np.empty(len(row))
         for s in range(0, len(row), 16_384):
-            sims[s : s + 16_384] = np.einsum("nd,nd->n", wide[row[s : s + 16_384]], wide[best[s : s + 16_384]])
+            a, b = row[s : s + 16_384], best[s : s + 16_384]
+            sims[s : s + 16_384] = np.einsum("nd,nd->n", raw[a].astype(np.float64) / norm[a, None], raw[b].astype(np.float64) / norm[b, None])
         sims = np.round(sims, 12)
         other = best != row
         row, best, sims = row[other], best[other], sims[other]
@@ -347,11 +335,12 @@ def neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, id_: str = "id", n
         far = np.round((1.0 - sims) * 1e12).astype(np.int64).clip(0)
         key = as_bytes(np.ascontiguousarray(far.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]))
         entries = pc.binary_join_element_wise(key, ids.take(pa.array(at[best])), pa.scalar(b"", pa.binary()))
-        ends = np.searchsorted(row, np.arange(len(at) + 1)).astype(np.int32)
+        some = np.unique(row)  # who found nothing here has no list
+        ends = np.append(np.searchsorted(row, some), len(row)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), entries)
-        return pa.table({"id": ids.take(pa.array(at)), "entries": lists})
+        return pa.table({"id": ids.take(pa.array(at[some])), "entries": lists})
 
-    placed = current.select("id", "h", "vector").mapInArrow(place, "cell int, is_member boolean, id binary, vector binary")
+    placed = current.select("id", "h", "vector").mapInArrow(place, "cell int, role tinyint, id binary, vector binary")
     partial = placed.groupBy("cell").applyInArrow(answer, "id binary, entries array<binary>")
     # the lists of a query, from the cells that it visits, are merged: entries sort by distance, then by id;
     # of a neighbour met in several cells the nearest entry stays
@@ -409,8 +398,8 @@ def divided(current: DataFrame, tree: Tree, sizes: np.ndarray, dim: int) -> None
             tree.divide(row["cell"], centres)
 
 
-def fitted(current: DataFrame, total: int, k: int, dim: int) -> tuple[Tree, float, int, np.ndarray]:
-    """The tree over cells, the calibrated margin between cells and number of visits, and the number of pieces of each cell.
+def fitted(current: DataFrame, total: int, k: int, dim: int) -> tuple[Tree, tuple[float, float], int, np.ndarray]:
+    """The tree over cells, the calibrated margin between cells and floor of visitors, the most visits, and each cell's pieces.
 
     A cell is laid in pieces only where it holds too much even after it was divided, as nearly equal vectors do.
     """
@@ -418,12 +407,14 @@ def fitted(current: DataFrame, total: int, k: int, dim: int) -> tuple[Tree, floa
     if not len(some):
         some = np.asarray(current.select("vector").limit(SAMPLE).toPandas()["vector"].tolist(), dtype=np.float32)
     some = unit(some.reshape(-1, dim))
+    asked = some[:: max(1, len(some) // PROBED)][:PROBED]
+    if len(some) > 8 * PROBED:  # the centres lie nearer to what they were fitted on than to the rest
+        some = np.delete(some, np.arange(0, len(some), len(some) // PROBED)[:PROBED], axis=0)
     cells = min(MOST_CELLS, max(LEAST_CELLS, -(-total // CELL)), max(1, len(some) // 8))
-    tree = Tree(some, -(-2 * len(some) // cells), fit=SAMPLE)
+    tree = Tree(some, -(-2 * len(some) // cells), branch=max(BRANCH, cells), fit=SAMPLE)
     expected = lambda: np.bincount(tree.visit(some, 1)[0][:, 0], minlength=tree.leaves) / len(some) * total
     divided(current, tree, expected(), dim)
     pieces = np.maximum(1, np.ceil(expected() / (4 * CELL))).astype(np.int64)
-    asked = some[:: max(1, len(some) // PROBED)][:PROBED]
     shared = current.sparkSession.sparkContext.broadcast(asked)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,18 +436,29 @@ def fitted(current: DataFrame, total: int, k: int, dim: int) -> tuple[Tree, floa
 
     lists = current.select("vector").mapInArrow(nearest, "q int, s float, vector array<float>")
     by = Window.partitionBy("q").orderBy(F.desc("s"))
-    true = lists.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1).select("q", "vector").toPandas()
-    home = tree.visit(np.asarray(true["vector"].tolist(), dtype=np.float32).reshape(-1, dim), 1)[0][:, 0]
-    leaves, scores = tree.visit(asked, tree.leaves)
-    need, rank = [], []
-    for q, cell in zip(true["q"], home):
-        hit = np.flatnonzero(leaves[q] == cell)
-        need.append(scores[q, 0] - scores[q, hit[0]])
-        rank.append(int(hit[0]) + 1)
-    margin = float(np.quantile(need, RECALL)) if need else 0.0
-    # as many visits as the cells within the margin that the probed queries' neighbours lie in ask for
-    visits = max([r for r, n in zip(rank, need) if n <= margin], default=1)
-    return tree, margin, visits, pieces
+    # the best of a probed vector is itself, or one equal to it
+    true = lists.withColumn("r", F.row_number().over(by)).where((F.col("r") > 1) & (F.col("r") <= k + 1)).select("q", "s", "vector").toPandas()
+    if not len(true):
+        return tree, (0.0, -2.0), 1, pieces
+    floor = float(np.quantile(true["s"], FLOOR_AT, method="lower")) - 2e-3  # halves are that exact
+    everywhere = lambda x: x @ tree.centres().T if tree.root >= 0 else np.ones((len(x), 1), dtype=np.float32)
+    need = np.empty(len(true))
+    theirs = np.asarray(true["vector"].tolist(), dtype=np.float32).reshape(-1, dim)
+    for i in range(0, len(true), 64):
+        a, b = everywhere(asked[true["q"].to_numpy()[i : i + 64]]), everywhere(theirs[i : i + 64])
+        a, b = a.max(axis=1, keepdims=True) - a, b.max(axis=1, keepdims=True) - b
+        # two vectors meet in the cell that both of them reach first
+        need[i : i + 64] = np.maximum(a, b).min(axis=1)
+    need[(need > 0) & (true["s"].to_numpy() < floor)] = 4.0
+    margin = float(np.quantile(need, RECALL, method="higher"))
+    # as many visits as any of these vectors has cells within the margin
+    visits = 1
+    for i in range(0, len(true), 64):
+        for x in (asked[i : i + 64], theirs[i : i + 64]):
+            if len(x):
+                s = everywhere(x)
+                visits = max(visits, int((s >= s.max(axis=1, keepdims=True) - margin).sum(axis=1).max()))
+    return tree, (margin, floor), visits, pieces
 
 
 def neighbour_pairs(vectors: DataFrame, k: int = 5, dim: int = 64) -> DataFrame:

@@ -62,6 +62,26 @@ def test_overfull_cells_are_divided(spark, monkeypatch):
     assert home.max() <= 300 and len(got & want) >= 0.9 * len(want)
 
 
+def test_cells_are_visited_nearest_first():
+    # over trees of several levels, too: what a margin lets in grows with every cell that is visited before a nearer one
+    rng = np.random.default_rng(6)
+    x = neighbours.unit(rng.normal(size=(3000, 64)))
+    tree = neighbours.Tree(x, 30, branch=8)
+    leaves, scores = tree.visit(x[:500], tree.leaves)
+    assert tree.leaves > 64 and (np.diff(scores, axis=1) <= 1e-6).all() and (np.sort(leaves, axis=1) == np.arange(tree.leaves)).all()
+
+
+def test_visitors_take_only_what_is_above_the_floor():
+    rng = np.random.default_rng(7)
+    x = np.repeat(neighbours.unit(rng.normal(size=(40, 64))), 5, axis=0)
+    x = neighbours.unit(x + 0.03 * rng.normal(size=x.shape))
+    at_home = np.arange(len(x)) % 5 > 0
+    row, col = neighbours.search_cell(x, at_home, 5, 0.8)
+    for i in range(len(x)):
+        mates = set(range(i - i % 5, i - i % 5 + 5))
+        assert set(col[row == i]) >= mates and (at_home[i] or set(col[row == i]) == mates)
+
+
 def test_unusable_late_and_repeated_rows(spark):
     v = lambda *a: list(a) + [0.5] * (64 - len(a))
     rows = [
