@@ -739,7 +739,11 @@ def event_sessions(s: SparkSession, d: str) -> DataFrame:
 
 
 def _feed(s: SparkSession, d: str, table: str) -> DataFrame:
-    return ingest.feed(s, d, read(s, d, table).schema, f"{table}.parquet")
+    """A table as a stream: the files of its folder, or the one file that it is."""
+    path = s._jvm.org.apache.hadoop.fs.Path(f"{d}/{table}.parquet")
+    folder = path.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    schema = read(s, d, table).schema
+    return ingest.feed(s, f"{d}/{table}.parquet", schema) if folder else ingest.feed(s, d, schema, f"{table}.parquet")
 
 
 @query

@@ -318,6 +318,19 @@ def test_apply_batch_twice_and_late(spark):
     assert rows(ingest.apply_batch(once, batch), "id", "v") == rows(once, "id", "v")
 
 
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    from conftest import SMALL
+
+    from codeloom import catalogue
+
+    for table in ("source_files", "events"):
+        spark.read.parquet(f"{SMALL}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    for name in ("stream_files", "event_stream_tumbling"):
+        query = catalogue.queries()[name]
+        got, want = (sorted(tuple(r) for r in query(spark, d).collect()) for d in (str(tmp_path), SMALL))
+        assert got == want and got
+
+
 def test_feed_keeps_an_index(spark, tmp_path):
     schema = "id string, last_updated int, v string"
     for n, part in enumerate(([("a", 1, "x")], [("a", 2, "y"), ("b", 1, "z")], [("a", 1, "x")])):
