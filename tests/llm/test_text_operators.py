@@ -277,6 +277,14 @@ def test_bracket_repair():
     assert len(chart.bracket_repair("([)]")[0]) == 2 and len(chart.bracket_repair("(" * 2000)[0]) == 2000 and chart.bracket_repair("(]" * 150)[0][0] == ("turn", 1)
 
 
+def test_bracket_repair_at_any_number():
+    # one bracket too many between 300 pairs that wait for each other, and 300 pairs of two kinds
+    assert chart.bracket_repair("(" * 300 + "[" + ")" * 300) == ([("mate", 300)], True)
+    assert chart.bracket_repair("(]" * 300) == ([("turn", 2 * i + 1) for i in range(300)], True)
+    actions, exact = chart.bracket_repair("({" * 300 + "[" + "})" * 150 + "]" + "})" * 150)
+    assert exact and len(actions) == 2
+
+
 def test_judging_nulls_and_other_files(spark):
     df = spark.createDataFrame([("a", "r", "x.py", None), ("b", "r", "x.py", ""), ("c", "r", "x.md", "if ("), ("d", None, "X.JS", "if (")], "file_id string, repository string, path string, content string")
     assert sorted(tuple(r) for r in syntax.judged(df).select("file_id", "invalid").collect()) == [("b", False), ("d", True)]
