@@ -473,6 +473,16 @@ def test_the_first_owner_may_be_an_edited_copy(spark):
     assert {f"c{i}" for i in range(8)} <= set(got) and set(got.values()) == {"copied"}
 
 
+def test_an_origin_that_no_line_points_to(spark):
+    # every line has its least and greatest repository in another small file, so none of them points to the two whole ones
+    text = source("zlib", 20).split("\n")
+    parts = ["\n".join(text[i : i + 3]) for i in range(0, len(text), 3)]
+    rows = [(f"p{r}-{i}", f"q{r}", f"p{i}.py", part) for r in range(40) for i, part in enumerate(parts)]
+    rows += [(f"w{i}", f"whole{i}", "a.py", "\n".join(text)) for i in range(2)]
+    got = dict(tuple(r) for r in handwritten.not_handwritten(spark.createDataFrame(rows, SOURCES)).collect())
+    assert got.get("w0") == got.get("w1") == "copied"
+
+
 def test_libraries_are_known_by_name_in_several_repositories(spark):
     mark = "# (c) the quillo authors\n# Released under the MIT license\n"
     rows = [("v", "r1", "app/quillo.py", mark + source("quillo")), ("w", "r2", "vendor/quillo/core.py", source("other")), ("edited", "r3", "src/mine.py", source("quillo", change=(1, 2, 3)) + "\n" + source("mine", 2))]
