@@ -2,6 +2,7 @@
 
 import ast
 import base64
+import os
 import random
 
 import pytest
@@ -489,3 +490,31 @@ def test_libraries_are_known_by_name_in_several_repositories(spark):
     rows += [("mit", "r3", "src/l.py", "# Licensed under the MIT license\n" + source("l")), ("dep", "r4", "deps/api/x.py", source("x")), ("ours", "r5", "ours/a.py", "# (c) the ours authors\n" + source("ours")), ("ours2", "r5", "ours/b.py", "# (c) the ours authors\n" + source("oursb"))]
     got = dict(tuple(r) for r in handwritten.not_handwritten(spark.createDataFrame(rows, SOURCES)).collect())
     assert got == {"v": "foreign", "w": "foreign", "edited": "copied"}
+
+
+def test_line_sets_do_not_travel_for_a_flag(spark):
+    # neither the texts nor, again and again, the sets of their lines are shuffled
+    from codeloom.llm import queries
+
+    def shuffled():
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    folder = SMALL.replace("sf0.001", "sf0.01")
+    size = sum(os.path.getsize(f"{folder}/{t}.parquet") for t in ("files_raw", "source_files"))
+    before = shuffled()
+    queries.p1_found(spark, folder).collect()
+    assert shuffled() - before < 4 * size
+
+
+def test_texts_are_judged_where_they_lie(spark, tmp_path):
+    # older states, repeats, null and empty texts, and rows of no current file; two ids of one text
+    files = [("a", "r1", "z.py", "c2", 2), ("a", "r1", "z.py", "c1", 1), ("b", "r2", "z.py", "c1", 1), ("twin", "r2", "z.py", "c1", 1), ("n", "r2", "n.py", "c1", 1), ("e", "r2", "e.py", "c1", 1), (None, "r3", "x.py", "c1", 1), ("md", "r3", "x.md", "c1", 1)]
+    made, ours = "# Code generated by tool. DO NOT EDIT.\nx = 1\n", source("own")
+    raw = [("z.py", "r1", "c2", made), ("z.py", "r1", "c2", made), ("z.py", "r1", "c1", ours), ("z.py", "r2", "c1", made), ("z.py", "r2", "c0", ours), ("n.py", "r2", "c1", None), ("e.py", "r2", "c1", ""), ("x.py", "r3", "c1", made), ("x.md", "r3", "c1", made), ("lost.py", "r3", "c1", made)]
+    spark.createDataFrame(files, "id string, repository string, path string, commit string, last_updated int").withColumn("language", F.lit("python")).write.parquet(f"{tmp_path}/source_files.parquet")
+    spark.createDataFrame(raw, "path string, repository string, commit string, content string").write.parquet(f"{tmp_path}/files_raw.parquet")
+    from codeloom.llm import queries
+
+    assert sorted(r.file_id for r in queries.p1_found(spark, str(tmp_path)).collect()) == ["a", "b", "twin"]
+    assert {r.file_id for r in queries.p1_handwritten(spark, str(tmp_path)).collect()} == {"n", "e", None}  # a row without an id is never found
