@@ -213,8 +213,10 @@ def told_apart(files: DataFrame) -> DataFrame:
     lines = one.where(F.size("lines") > 0).select("f", "repo", "foreign", F.explode("lines").alias("h"))
     # of each line: in how many repositories it is, in how many of them in a foreign file, and its owners: the least file
     # (and the least foreign file) of the first and of the last of those repositories, so that every file finds one outside its own
+    # (lines are brought together by their hash at once, which serves both groupings with one shuffle)
     index = (
-        lines.groupBy("h", "repo")
+        lines.repartition("h")
+        .groupBy("h", "repo")
         .agg(F.min(F.when(F.col("foreign"), F.col("f"))).alias("owner"), F.min("f").alias("any"))
         .groupBy("h")
         .agg(
